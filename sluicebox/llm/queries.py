@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from ..sources import table
-from . import mixing, split_overlap, tokens
+from . import mixing, pii, split_overlap, tokens
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents, targets, mixing.mix(documents, targets))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p6_ids, p6_decoded, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, start_char, end_char of each span that p8_replaced replaces."""
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def p8_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text_out: the texts with typed placeholders."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text_out")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced)}
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
 
