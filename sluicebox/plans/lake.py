@@ -461,3 +461,106 @@ def except_all_copies(spark, sf_dir):
     a = views.cleaned_transactions(spark, sf_dir).select("txid", "event_id", "session")
     s = table(spark, sf_dir, "serving_transactions").select(clean_id(F.col("txid")).alias("txid"), clean_id(F.col("event_id")).alias("event_id"), "session")
     return assertions.same_rows(a, s).where("side = 'left'").drop("side")
+
+
+# ---------------------------------------------------------------- normalised events, features, rules, gate
+
+_ZONED = "regexp_matches(received_at, '(Z|[+-][0-9]{2}:?[0-9]{2})$')"
+_ENTRIES = f"""(select message_id, channel, kind, i, sequence, json_extract(list, '$[' || i || ']') as entry from (
+select message_id, channel, kind, json_extract(body, '$.' || kind) as list, sequence, unnest(range(cast(coalesce(json_array_length(json_extract(body, '$.' || kind)), 0) as bigint))) as i from (
+select message_id, channel, kind, json_extract(j, '$."' || channel || '"') as body, cast(json_extract(j, '$."' || channel || '".sequence') as bigint) as sequence from (
+select message_id, try_cast(raw_text as json) as j from mempool_messages where schema_version = 1 and run_id <> '' and session_id <> '' and message_id <> '' and {_ZONED}
+and coalesce(message_type, 'text') = 'text' and json_valid(raw_text)), (select unnest(['mempool-transactions', 'mempool-txids']) as channel), (select unnest(['added', 'removed', 'mined', 'replaced']) as kind)) where body is not null))"""
+_TX = "case when regexp_full_match({0}, '[0-9a-fA-F]{{64}}') then lower({0}) end"
+_EVENTS = f"""(select sha256('[' || to_json(message_id) || ',"' || channel || '","' || kind || '",' || i || ']') as event_id, message_id as source_message_id, kind as event_type, sequence as source_sequence,
+{_TX.format('candidate')} as txid, case when swap then {_TX.format('by_txid')} end as replacement_txid from (
+select *, kind = 'replaced' and json_type(entry) = 'OBJECT' and json_extract(entry, '$.replaced') is not null as swap,
+case when kind = 'replaced' and json_extract(entry, '$.replaced') is not null then json_extract_string(entry, '$.replaced') when json_type(entry) = 'OBJECT' then json_extract_string(entry, '$.txid') else json_extract_string(entry, '$') end as candidate,
+json_extract_string(entry, '$.by.txid') as by_txid from {_ENTRIES}))"""
+
+
+@query(f"select * from {_EVENTS}")
+def normalised_events(spark, sf_dir):
+    """Every entry of every delivery as an event with its deterministic id."""
+    from ..operators import normalise
+
+    found = normalise.events(table(spark, sf_dir, "mempool_messages"))
+    return found.select("event_id", "source_message_id", "event_type", "source_sequence", "txid", "replacement_txid")
+
+
+@query(f"""select detail, count(*) as n from (select case when schema_version is distinct from 1 then 'envelope version is not supported' when coalesce(run_id, '') = '' then 'no run_id in the envelope' when coalesce(session_id, '') = '' then 'no session_id in the envelope'
+when coalesce(message_id, '') = '' and coalesce(received_at, '') = '' then 'two' when coalesce(message_id, '') = '' then 'no message_id in the envelope' when coalesce(received_at, '') = '' then 'no received_at in the envelope'
+when not {_ZONED} then 'received_at is no ISO time with a zone' when coalesce(message_type, 'text') <> 'text' then 'binary message' when not json_valid(raw_text) then 'raw_text is no valid JSON' end as detail from mempool_messages
+union all select channel || '.' || kind || '[' || i || '] has no usable txid' from (select channel, kind, i, kind = 'replaced' and json_extract(entry, '$.replaced') is not null as swap, entry from {_ENTRIES})
+where {_TX.format("case when swap then json_extract_string(entry, '$.replaced') when json_type(entry) = 'OBJECT' then json_extract_string(entry, '$.txid') else json_extract_string(entry, '$') end")} is null
+union all select channel || '.' || kind || '[' || i || '] has no usable replacement' from {_ENTRIES} where kind = 'replaced' and json_extract(entry, '$.replaced') is not null and {_TX.format("json_extract_string(entry, '$.by.txid')")} is null
+) where detail is not null group by 1""")
+def message_issues(spark, sf_dir):
+    from ..operators import normalise
+
+    rows = table(spark, sf_dir, "mempool_messages")
+    return normalise.issues(rows, ["kafka_partition", "kafka_offset"]).groupBy("detail").agg(F.count("*").alias("n"))
+
+
+@query("""select o_orderkey as txid, n_in, n_out, value_out_sat, fee_sat, vsize, round_even(fee_sat / vsize::double, 6) as fee_rate_sat_vb, max_equal_output_count, round(round_amount_fraction, 6) as round_amount_fraction, rbf_signaled from (
+select l_orderkey as o_orderkey, count(*) as n_in, count(*) as n_out, cast(sum(v) as bigint) as value_out_sat, cast(max(l_orderkey) % 9973 as bigint) as fee_sat, cast((sum(cast(l_quantity as bigint)) * 4 + 1 + 3) // 4 as integer) as vsize,
+max(c) as max_equal_output_count, count(*) filter (where v % 100000 = 0) / count(*)::double as round_amount_fraction,
+case when bool_or(l_returnflag = 'R') then true when bool_and(l_returnflag in ('R', 'A')) then false end as rbf_signaled from (
+select *, cast(round(l_extendedprice * 100) as bigint) // 50000 * 50000 as v, count(*) over (partition by l_orderkey, cast(round(l_extendedprice * 100) as bigint) // 50000 * 50000) as c from lineitem) group by 1)""")
+def feature_projection(spark, sf_dir):
+    """Features of transactions made of order lines: outputs from prices, sequences from return flags."""
+    from ..operators import features
+
+    v = F.floor(F.round(F.col("l_extendedprice") * 100).cast("bigint") / 50000).cast("bigint") * 50000
+    sequence = F.when(F.col("l_returnflag") == "R", F.lit(0xFFFFFFFD)).when(F.col("l_returnflag") == "A", F.lit(0xFFFFFFFF))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txid")).agg(F.collect_list(F.struct(v.alias("v"), sequence.cast("bigint").alias("s"))).alias("l"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    made = features.feature_columns(F.col("l.v"), F.transform("l", lambda x: x["s"]), F.col("q") * 4 + 1, (F.col("txid") % 9973).cast("bigint"))
+    return lines.select("txid", *[c.alias(n) for n, c in made.items()])
+
+
+@query("""select event_id, rule_ids from (select distinct event_id, list_filter([case when n_in <= 2 and n_out >= 6 then 'many_outputs' end, case when n_in >= 6 and n_out <= 2 then 'many_inputs' end, case when n_in >= 3 and max_equal_output_count >= 3 then 'repeated_output_values' end], lambda x: x is not null) as rule_ids from transactions)""")
+def rule_signals(spark, sf_dir):
+    """Signals under other thresholds than those stored."""
+    from ..operators import rules
+
+    t = rules.Thresholds(many_outputs_min=6, many_inputs_min=6)
+    found = F.transform(rules.signals(F.col("n_in"), F.col("n_out"), F.col("max_equal_output_count"), t), lambda s: s["rule_id"])
+    return table(spark, sf_dir, "transactions").select("event_id", found.alias("rule_ids")).distinct()
+
+
+@query("""select event_id, count(*) as n from transactions where list_filter([case when n_in <= 2 and n_out >= 10 then 'many_outputs' end, case when n_in >= 10 and n_out <= 2 then 'many_inputs' end, case when n_in >= 3 and max_equal_output_count >= 3 then 'repeated_output_values' end], lambda x: x is not null) is distinct from rule_ids group by 1""")
+def rule_disagreements(spark, sf_dir):
+    from ..operators import rules
+
+    return rules.disagreements(table(spark, sf_dir, "transactions")).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+def _gate_rows(spark, sf_dir) -> DataFrame:
+    t = table(spark, sf_dir, "transactions")
+    row = F.parse_json(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}))
+    return t.select(row.alias("row"), F.struct("received_at", "session", "event_id", F.col("txid").alias("t")).alias("ord"))
+
+
+_GATED = """(select *, case when len(types) > 0 then types else list_filter([case when not regexp_matches(txid, '^[0-9a-f]{64}$') then 'check:txid_format' end, case when not (n_in >= 1 and n_out >= 1 and vsize >= 1) then 'check:counts_positive' end,
+case when not (value_out_sat >= 0 and fee_sat >= 0 and fee_rate_sat_vb >= 0) then 'check:amounts_nonnegative' end, case when not (round_amount_fraction between 0 and 1) then 'check:fraction_in_range' end,
+case when not (signal_count = len(rule_ids) and is_flagged = (signal_count > 0)) then 'check:flag_matches_signals' end], lambda x: x is not null) end as failures from (
+select *, list_filter([case when fee_rate_sat_vb is null then 'type:fee_rate_sat_vb' end, case when source_mode is null then 'type:source_mode' end, case when feature_set_version is null then 'type:feature_set_version' end], lambda x: x is not null) as types from transactions))"""
+
+
+@query(f"""with g as (select * from {_GATED}), d as (select *, case when len(failures) = 0 then rank() over (partition by txid, len(failures) = 0 order by received_at, session, event_id) end as rn from g)
+select "check", count(*) as n from (select unnest(failures) as "check" from d union all select 'duplicate_key' from d where rn > 1) group by 1""")
+def quality_gate_report(spark, sf_dir):
+    """Failed checks of the transactions put through the gate as JSON rows, keys competing over the whole table."""
+    from ..contracts import TRANSACTIONS
+    from ..operators import gate
+
+    return gate.validate(_gate_rows(spark, sf_dir), TRANSACTIONS)[2]
+
+
+@query(f"""with g as (select * from {_GATED} where len(failures) = 0), d as (select *, rank() over (partition by txid order by received_at, session, event_id) as rn from g)
+select txid, session, event_id, received_at from d where rn = 1""")
+def quality_gate_good(spark, sf_dir):
+    from ..contracts import TRANSACTIONS
+    from ..operators import gate
+
+    return gate.validate(_gate_rows(spark, sf_dir), TRANSACTIONS)[0].select("txid", "session", "event_id", "received_at")
