@@ -71,12 +71,6 @@ def most_equal(values: Column) -> Column:
     return runs["m"]
 
 
-def round_fraction(values: Column, unit: int = ROUND_UNIT_SAT) -> Column:
-    """The share of round values; 0 for no values."""
-    n = F.size(F.filter(values, lambda x: x % unit == 0))
-    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(round6(n / F.size(values)))
-
-
 def replaceable(sequences: Column) -> Column:
     """True if any valid sequence signals it, false if all are valid and none does, else unknown (null)."""
     valid = lambda s: s.isNotNull() & s.between(0, SEQUENCE_MAX)
@@ -84,30 +78,34 @@ def replaceable(sequences: Column) -> Column:
     return F.when(signals, F.lit(True)).when(F.forall(sequences, lambda s: F.coalesce(valid(s), F.lit(False))), F.lit(False))
 
 
-def feature_columns(values: Column, sequences: Column, weight: Column, fee: Column) -> dict[str, Column]:
-    """The features from typed parts: output values, input sequences (null: none or invalid), weight and fee."""
-    positive = F.filter(values, lambda x: x > 0)
-    vsize = F.floor((weight + 3) / 4).cast("bigint")
-    return {
-        "n_in": F.size(sequences),
-        "n_out": F.size(values),
-        "value_out_sat": F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x),
-        "fee_sat": fee,
-        "vsize": vsize.cast("int"),
-        "fee_rate_sat_vb": round6(fee / vsize),
-        "max_equal_output_count": most_equal(positive),
-        "round_amount_fraction": round_fraction(positive),
-        "rbf_signaled": replaceable(sequences),
+def with_features(df: DataFrame, values: Column, sequences: Column, weight: Column, fee: Column, into: str = "features") -> DataFrame:
+    """df with the features as a STRUCT, from typed parts: output values, input sequences (null: none or invalid), weight
+    and fee. Null values give a null struct."""
+    out = once(df, __v=values, __s=sequences, __w=weight.cast("bigint"), __f=fee.cast("bigint"))
+    out = once(out, __p=F.filter("__v", lambda x: x > 0), __z=F.floor((F.col("__w") + 3) / 4).cast("bigint"))
+    share = F.size(F.filter("__p", lambda x: x % ROUND_UNIT_SAT == 0)) / F.nullif(F.size("__p"), F.lit(0))
+    out = once(out, __rate=F.try_divide(F.col("__f"), F.col("__z")), __share=F.coalesce(share, F.lit(0.0)))
+    made = {
+        "n_in": F.size("__s"),
+        "n_out": F.size("__v"),
+        "value_out_sat": F.aggregate("__v", F.lit(0).cast("bigint"), lambda a, x: a + x),
+        "fee_sat": F.col("__f"),
+        "vsize": F.col("__z").cast("int"),
+        "fee_rate_sat_vb": round6(F.col("__rate")),
+        "max_equal_output_count": most_equal(F.col("__p")),
+        "round_amount_fraction": round6(F.col("__share")),
+        "rbf_signaled": replaceable(F.col("__s")),
     }
+    whole_struct = F.struct(*[made[n].alias(n) for n in FEATURES])
+    return out.withColumn(into, F.when(F.col("__v").isNotNull(), whole_struct)).drop("__v", "__s", "__w", "__f", "__p", "__z", "__rate", "__share")
 
 
 def extract(df: DataFrame, tx: str = "entry") -> DataFrame:
     """df with `features` (STRUCT, null if rejected) and `reason` (null if not)."""
     v = F.col(tx)
-    values = F.transform(_list(v, "vout"), lambda o: whole(F.try_variant_get(o, "$.value", "variant")))
-    sequences = F.transform(_list(v, "vin"), lambda i: whole(F.try_variant_get(i, "$.sequence", "variant")))
     parts = once(df, reason=reason(v))
-    parts = once(parts, __p=F.when(F.col("reason").isNull(), F.struct(values.alias("v"), sequences.alias("s"), whole(F.try_variant_get(v, "$.weight", "variant")).alias("w"), whole(F.try_variant_get(v, "$.fee", "variant")).alias("f"))))
-    columns = feature_columns(F.col("__p.v"), F.col("__p.s"), F.col("__p.w"), F.col("__p.f"))
-    made = F.struct(*[columns[n].alias(n) for n in FEATURES])
-    return parts.withColumn("features", F.when(F.col("__p").isNotNull(), made)).drop("__p")
+    fine = F.col("reason").isNull()
+    values = F.when(fine, F.transform(_list(v, "vout"), lambda o: whole(F.try_variant_get(o, "$.value", "variant"))))
+    sequences = F.when(fine, F.transform(_list(v, "vin"), lambda i: whole(F.try_variant_get(i, "$.sequence", "variant"))))
+    number = lambda name: F.when(fine, whole(F.try_variant_get(v, f"$.{name}", "variant")))
+    return with_features(parts, values, sequences, number("weight"), number("fee"))

@@ -514,8 +514,8 @@ def feature_projection(spark, sf_dir):
     v = F.floor(F.round(F.col("l_extendedprice") * 100).cast("bigint") / 50000).cast("bigint") * 50000
     sequence = F.when(F.col("l_returnflag") == "R", F.lit(0xFFFFFFFD)).when(F.col("l_returnflag") == "A", F.lit(0xFFFFFFFF))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txid")).agg(F.collect_list(F.struct(v.alias("v"), sequence.cast("bigint").alias("s"))).alias("l"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
-    made = features.feature_columns(F.col("l.v"), F.transform("l", lambda x: x["s"]), F.col("q") * 4 + 1, (F.col("txid") % 9973).cast("bigint"))
-    return lines.select("txid", *[c.alias(n) for n, c in made.items()])
+    made = features.with_features(lines, F.col("l.v"), F.col("l.s"), F.col("q") * 4 + 1, F.col("txid") % 9973)
+    return made.select("txid", "features.*")
 
 
 @query("""select event_id, rule_ids from (select distinct event_id, list_filter([case when n_in <= 2 and n_out >= 6 then 'many_outputs' end, case when n_in >= 6 and n_out <= 2 then 'many_inputs' end, case when n_in >= 3 and max_equal_output_count >= 3 then 'repeated_output_values' end], lambda x: x is not null) as rule_ids from transactions)""")
@@ -564,3 +564,92 @@ def quality_gate_good(spark, sf_dir):
     from ..operators import gate
 
     return gate.validate(_gate_rows(spark, sf_dir), TRANSACTIONS)[0].select("txid", "session", "event_id", "received_at")
+
+
+# ---------------------------------------------------------------- forest, sweep, lab, stream
+
+
+@query()
+def iforest_scores(spark, sf_dir):
+    """Scores of every transaction by a forest fitted on the train split."""
+    from ..operators import forest
+
+    t = views.cleaned_transactions(spark, sf_dir)
+    train = t.join(table(spark, sf_dir, "split_sessions").where("split_name = 'train'"), "session", "left_semi")
+    return forest.score(t, forest.fit(train, key="event_id")).select("event_id", F.round("score", 9).alias("score"))
+
+
+@query()
+def sweep_rollup(spark, sf_dir):
+    from ..operators import forest, sweep
+    from ..session import stored
+
+    t = views.cleaned_transactions(spark, sf_dir).join(table(spark, sf_dir, "split_sessions"), "session")
+    model = forest.fit(t.where("split_name = 'train'"), key="event_id")
+    calibration = stored(forest.score(t.where("split_name = 'calibration'"), model).where("score is not null").select("score"), "calibration")
+    cut = evaluate.budget_threshold(calibration, 25.0).first().threshold
+    return sweep.roll_up(sweep.run(spark, model, cut, calibration))
+
+
+@query("""select * from (values ('payment', true), ('fan_out_below', true), ('fan_out_at', true), ('fan_out_more_inputs', true), ('fan_in_below', true), ('fan_in_at', true), ('equal_below', true), ('equal_at', true)) t(scenario, passed)""")
+def rule_lab(spark, sf_dir):
+    from ..operators import rules
+
+    return rules.lab(spark).select("scenario", "passed")
+
+
+@query()
+def rule_lab_sweep(spark, sf_dir):
+    from ..operators import rules
+
+    return rules.threshold_sweep(spark)
+
+
+@query("""with s as (select session, lag(ended_at) over (partition by source_url order by started_at, session) as before, started_at from capture_sessions where source_url is not null)
+select session, round(greatest(date_diff('microsecond', before, started_at), 0) / 1000000.0::double, 3) as gap_seconds from s where before is not null""")
+def gap_seconds(spark, sf_dir):
+    """Time between a session's start and the end of the one before it from the same source (0 where they overlap)."""
+    from pyspark.sql import Window
+
+    s = views.capture_sessions(spark, sf_dir).where("source_url is not null")
+    before = F.lag("ended_at").over(Window.partitionBy("source_url").orderBy("started_at", "session"))
+    gap = F.greatest(F.unix_micros("started_at") - F.unix_micros("before"), F.lit(0)) / 1e6
+    return s.withColumn("before", before).where("before is not null").select("session", F.round(gap, 3).alias("gap_seconds"))
+
+
+@query(f"""with s as (select event_id, min(round(fee_rate_sat_vb, 3)) as f from {_S} group by 1)
+select event_id, coalesce(round(fee_rate_sat_vb, 3), f) as fee_rate from (select distinct event_id, fee_rate_sat_vb from {_T}) left join s using (event_id)""")
+def enrichment_fill(spark, sf_dir):
+    from ..operators import enrichment
+
+    rate = F.round("fee_rate_sat_vb", 3).alias("fee_rate")
+    t = views.cleaned_transactions(spark, sf_dir).select("event_id", "fee_rate_sat_vb").distinct().select("event_id", rate)
+    s = table(spark, sf_dir, "serving_transactions").select(clean_id(F.col("event_id")).alias("event_id"), rate)
+    return enrichment.fill(t, s, "event_id", ("fee_rate",))
+
+
+@query()
+def stream_lake(spark, sf_dir):
+    """All messages through the stream into a lake of its own, in one run; the events that came out, by type."""
+    from ..contracts import LIFECYCLE_EVENTS
+    from ..operators import gate
+    from ..session import scratch
+    from ..sources.captures import message_stream
+    from ..streaming import lake as stream
+
+    base = scratch(spark, "stream")
+    table(spark, sf_dir, "mempool_messages").select("schema_version", "run_id", "session_id", "message_id", "received_at", "source_mode", "message_type", "raw_text").write.parquet(f"{base}/in")
+    stream.stream_to_lake(message_stream(spark, "file", path=f"{base}/in"), f"{base}/lake", f"{base}/checkpoint").awaitTermination()
+    return gate.read_lake(spark, f"{base}/lake", LIFECYCLE_EVENTS).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(f"select count(*) as n from (select distinct {ID.format('message_id')} as id from mempool_messages where {ID.format('message_id')} <> '') union all select count(*) from (select distinct * from mempool_messages where coalesce({ID.format('message_id')}, '') = '')")
+def stream_dedup(spark, sf_dir):
+    """Messages left by the stream's deduplication: with an id, and without."""
+    from ..functions.ids import clean_name
+    from ..streaming.lake import first_deliveries
+
+    m = table(spark, sf_dir, "mempool_messages")
+    kept = first_deliveries(m).groupBy(clean_name(F.col("message_id")).isNull().alias("nameless")).agg(F.count("*").alias("n"))
+    both = spark.createDataFrame([(False,), (True,)], "nameless boolean").join(kept, "nameless", "left")
+    return both.select(F.coalesce("n", F.lit(0)).alias("n"))
