@@ -146,4 +146,4 @@ def alerts(samples: DataFrame, max_lag: int = 1000, max_age: int = 600, quaranti
         "quarantine": grown,
     }
     fired = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules_.items()]))
-    return s.select("at", F.explode(fired).alias("alert"))
+    return s.withColumn("__f", fired).select("at", F.explode("__f").alias("alert"))
