@@ -10,7 +10,7 @@ other, until one of them is decided. When no such direction is left, at most two
 The flight runs in blocks of a source, drawn by a hash of the key, so a source with a third of all documents is many
 blocks. What each block leaves undecided (two documents at most) goes to the next round, in blocks again, until one
 block per source is left. Only there the last two documents are landed, to whichever outcome misses the tokens least,
-with one more document of that block turned if that helps. So the tokens of an uncapped source miss their target by
+with other documents of that block turned if that helps. So the tokens of an uncapped source miss their target by
 less than its largest two documents at any size, and commonly by a few tokens.
 
 Defined results: sources are compared without surrounding blanks and in lower case; documents without a target (null
@@ -78,9 +78,10 @@ def fly(p: list[float], size: list[float], rng, eps: float = 1e-9) -> list[float
 
 
 def land(p: list[float], size: list[float]) -> list[float]:
-    """The last undecided ones (two at most) decided, and at most one decided one turned, so that the weighted sum is missed least.
+    """The last undecided ones (two at most) decided, and decided ones turned, so that the weighted sum is missed least.
 
-    Large documents tend to stay undecided to the end; turning one document of the right size takes up what they leave.
+    Large documents tend to stay undecided to the end, as they hardly move while small ones are decided. What such a one
+    leaves is taken up by turning others over, each time the one that brings the sum nearest, while it comes nearer.
     """
     import numpy as np
 
@@ -89,21 +90,25 @@ def land(p: list[float], size: list[float]) -> list[float]:
         return p
     want = sum(p[i] * size[i] for i in open_)
     fixed = np.array([i for i in range(len(p)) if i not in open_], dtype=int)
-    turn = np.array([size[i] * (-1.0 if p[i] == 1 else 1.0) for i in fixed])
-    best: tuple = ()
+    best: tuple = (float("inf"),)
     for k in range(1 << len(open_)):
         choice = [k >> b & 1 for b in range(len(open_))]
         miss = sum(x * size[i] for x, i in zip(choice, open_, strict=True)) - want
-        options = [(abs(miss), 0, k, -1)]
-        if len(fixed):
+        turn = np.array([size[i] * (-1.0 if p[i] == 1 else 1.0) for i in fixed])
+        turned: list[int] = []
+        while len(fixed):
             at = int(np.argmin(np.abs(turn + miss)))
-            options.append((abs(turn[at] + miss), 1, k, int(fixed[at])))
-        best = min([*options, *([best] if best else [])])
+            if abs(turn[at] + miss) >= abs(miss):
+                break
+            miss += turn[at]
+            turn[at] = np.inf
+            turned.append(int(fixed[at]))
+        best = min(best, (abs(miss), len(turned), k, turned))
     p = list(p)
     for b, i in enumerate(open_):
         p[i] = float(best[2] >> b & 1)
-    if best[3] >= 0:
-        p[best[3]] = 1.0 - p[best[3]]
+    for i in best[3]:
+        p[i] = 1.0 - p[i]
     return p
 
 

@@ -74,21 +74,21 @@ EMAIL = (
     rf"(?<![\p{{L}}\p{{N}}_.+%'\"-])(?<!\"){_SPELT_LOCAL}{_AT_WORD}{_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*{_DOT_WORD}\p{{L}}{{2,}}",
 )
 
+#: Words that make the number after them a ticket, run or shipment, not a person's.
+_TICKET = r"(?<!\b(?i:batch|lot|run|shard|job|ticket|case|order|build|host|offset|lag)[ \t]{1,3})(?<!#)(?<!\b(?i:QT)-)"
 _EXT = r"(?:[ \t]{0,3}[,;]?[ \t]{0,3}(?:ext(?:ension)?\.?|x|poste|durchwahl|dw\.?)[ \t]{0,3}\d{1,6})?"
-_BEFORE = r"(?<![\p{L}\p{N}_#@+/-])(?<!\d[.,: ])"
+_BEFORE = r"(?<![\p{L}\p{N}_#@+/-])(?<!\d[.,: ])" + _TICKET
 _AFTER = r"(?![\p{L}\p{N}_@]|[.,:/-]\d)"
 _GAP = r"[ \t.\-/]{1,3}"
 PHONE = (
     rf"{_BEFORE}\+?1{_GAP}\(?\d{{3}}\)?{_GAP}\d{{3}}{_GAP}\d{{4}}{_EXT}{_AFTER}",
     rf"{_BEFORE}(?:\(\d{{3}}\)[ \t.\-]{{0,3}}|[2-9]\d{{2}}[ \t.\-]{{1,3}})\d{{3}}[ \t.\-]{{1,3}}\d{{4}}{_EXT}{_AFTER}",
-    rf"{_BEFORE}(?:\+|00)[1-9]\d{{0,2}}(?:{_GAP})?(?:\(0\)[ \t]{{0,3}})?\d{{1,5}}(?:(?:{_GAP})?\d{{2,8}}){{1,5}}{_EXT}{_AFTER}",
+    rf"{_BEFORE}(?:\+[1-9]\d{{0,2}}(?:{_GAP})?|00[1-9]\d{{0,2}}{_GAP})(?:\(0\)[ \t]{{0,3}})?\d{{1,5}}(?:(?:{_GAP})?\d{{2,8}}){{1,5}}{_EXT}{_AFTER}",
     rf"{_BEFORE}0\d{{1,4}}[ \t]{{0,2}}/[ \t]{{0,2}}\d{{3,8}}(?:-\d{{1,5}})?{_EXT}{_AFTER}",
     rf"{_BEFORE}0[1-9](?:[. \t-]{{1,3}}\d{{2}}){{4}}{_EXT}{_AFTER}",
     rf"{_BEFORE}\(?0\d{{2,4}}\)?[ \t]{{1,3}}\d{{3,4}}[ \t]{{1,3}}\d{{4}}{_EXT}{_AFTER}",
 )
 
-#: Words that make the number after them a ticket, run or shipment, not a person's.
-_TICKET = r"(?<!\b(?i:batch|lot|run|shard|job|ticket|case|order|build|host|offset|lag)[ \t]{1,3})(?<!#)(?<!\b(?i:QT)-)"
 _LABELLED = (
     r"(?:\b(?:id|ids?[ \t]+(?:card|number|no\.?)|user_id|social[ \t]+security[ \t]+number|ssn|tax[ \t]+(?:form[ \t]+lists|id|number)|passport|national[ \t]+(?:id|insurance)(?:[ \t]+number)?"
     r"|steuernummer|steuer-?id|ausweis|personalausweis|reisepass|sozialversicherungsnummer|dni|nie|nif|documento|pasaporte|n[uú]mero[ \t]+de[ \t]+identidad|passeport|s[eé]curit[eé][ \t]+sociale|pi[eè]ce[ \t]+d'identit[eé])"
