@@ -44,17 +44,14 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[str, ...
     shared = [c for c in left.columns if c in right.columns and c not in keys]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        key = [(clean_id(F.col(k)) if k in ids else F.col(k)).alias(f"k{i}") for i, k in enumerate(keys)]
+        # One struct holds the key: it is never null itself and its null fields equal each other, so a plain equality
+        # of structs is the null-safe match, and the join needs no partitioning beyond that of the aggregation.
+        key = F.struct(*[(clean_id(F.col(f"`{k}`")) if k in ids else F.col(f"`{k}`")).alias(f"k{i}") for i, k in enumerate(keys)])
         values = [normalised(F.col(f"`{c}`"), kinds[c], grain, c in ids).alias(f"v{i}") for i, c in enumerate(shared)]
-        one = df.select(*key, F.struct(F.lit(True).alias("here"), *values).alias("row"))
-        return one.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.min("row").alias(name))
+        one = df.select(key.alias(f"k{name}"), F.struct(F.lit(True).alias("here"), *values).alias("row"))
+        return one.groupBy(f"k{name}").agg(F.min("row").alias(name))
 
-    l, r = side(left, "l"), side(right, "r")
-    match = None
-    for i in range(len(keys)):
-        term = l[f"k{i}"].eqNullSafe(r[f"k{i}"])
-        match = term if match is None else match & term
-    joined = l.join(r, match, "full_outer")
+    joined = side(left, "l").join(side(right, "r"), F.col("kl") == F.col("kr"), "full_outer")
 
     def change(i: int, c: str) -> Column:
         a, b = F.col(f"l.v{i}"), F.col(f"r.v{i}")
@@ -66,7 +63,7 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], ids: tuple[str, ...
     only = F.when(F.col("r").isNull(), F.lit(names[0])).when(F.col("l").isNull(), F.lit(names[1]))
     changes = F.array_compact(F.array(*[change(i, c) for i, c in enumerate(shared)])) if shared else F.array().cast("array<struct<field:string,left_value:string,right_value:string>>")
     out = joined.select(
-        *[F.coalesce(l[f"k{i}"], r[f"k{i}"]).alias(k) for i, k in enumerate(keys)],
+        *[F.coalesce("kl", "kr")[f"k{i}"].alias(k) for i, k in enumerate(keys)],
         only.alias("side"),
         F.when(only.isNull(), changes).alias("differences"),
     )
