@@ -77,7 +77,7 @@ EMAIL = (
 #: Words that make the number after them a ticket, run or shipment, not a person's.
 _TICKET = r"(?<!\b(?i:batch|lot|run|shard|job|ticket|case|order|build|host|offset|lag)[ \t]{1,3})(?<!#)(?<!\b(?i:QT)-)"
 _EXT = r"(?:[ \t]{0,3}[,;]?[ \t]{0,3}(?:ext(?:ension)?\.?|x|poste|durchwahl|dw\.?)[ \t]{0,3}\d{1,6})?"
-_BEFORE = r"(?<![\p{L}\p{N}_#@+/-])(?<!\d[.,: ])" + _TICKET
+_BEFORE = r"(?=[+(\d])(?<![\p{L}\p{N}_#@+/-])(?<!\d[.,: ])" + _TICKET
 _AFTER = r"(?![\p{L}\p{N}_@]|[.,:/-]\d)"
 _GAP = r"[ \t.\-/]{1,3}"
 PHONE = (
@@ -94,7 +94,7 @@ _LABELLED = (
     r"|steuernummer|steuer-?id|ausweis|personalausweis|reisepass|sozialversicherungsnummer|dni|nie|nif|documento|pasaporte|n[uú]mero[ \t]+de[ \t]+identidad|passeport|s[eé]curit[eé][ \t]+sociale|pi[eè]ce[ \t]+d'identit[eé])"
     r"(?:[ \t]+(?:is|ist|es|est|number|no\.?|nr\.?|n[º°]))?[ \t]*[:=(#]?[ \t]{0,3})"
 )
-_IB, _IA = r"(?<![\p{L}\p{N}_@/.+-])", r"(?![\p{L}\p{N}_@]|[-/]\d|\.\d)"
+_IB, _IA = r"(?=[\dA-Z])(?<![\p{L}\p{N}_@/.+-])", r"(?![\p{L}\p{N}_@]|[-/]\d|\.\d)"
 ID_NUMBER = (
     rf"{_IB}{_TICKET}\d{{3}}-\d{{2}}-\d{{4}}{_IA}",
     rf"{_IB}{_TICKET}[A-Z]{{2}}[ \t]{{0,3}}\d{{2}}[ \t]{{0,3}}\d{{2}}[ \t]{{0,3}}\d{{2}}[ \t]{{0,3}}[A-D]{_IA}",
@@ -172,44 +172,46 @@ DOES = "|".join(
         " drove there",
     )
 )
+DOES_WORDS = ("signed", "took", "laptop", "said", "says", "thinks", "believes", "claims", "found", "reported", "wrote", "noticed", "handed", "asked", "pris", "affirme", "pense", "croit", "dit", "turno", "cree", "dice", "afirma", "piensa", "meint", "geschrieben", "disagreed", "drove")
 _DOER = rf"(?:{_HEAD}{_TITLE}?(?P<n>{N})|(?:{_TITLE})?(?<![\p{{L}}\p{{N}}_'-])(?P<n>{C}))$"
 #: The same for two names.
 DO = f"{S}(?:think|believe|said|found|reported)(?={S})"
+DO_WORDS = ("think", "believe", "said", "found", "reported")
 _DOERS = rf"(?:{_HEAD}(?P<n>{N}){S}(?i:and){S}(?P<m>{N})|(?<![\p{{L}}\p{{N}}_'-])(?P<n>{C}){S}(?i:and){S}(?P<m>{C}))$"
 #: Signs looked at before such a verb.
 _REACH = 120
 
-#: Where names stand between two fixed ends: {N} any case, {C} capitals only.
+#: Where names stand between two fixed ends: {N} any case, {C} capitals only. Before each, words of which the place has one:
+#: a text with none of them is not searched for it.
 NAME_PLACES = (
-    # between two fixed ends
-    rf"(?i:visitor){S}{_TITLE}?(?P<n>{N}),{S}(?i:host){S}{_TITLE}?(?P<m>{N}){_END}",
-    rf"(?i:agreed{S}between){S}{_TITLE}?(?P<n>{N}){S}(?i:and){S}{_TITLE}?(?P<m>{N})(?={S}(?i:that))",
-    rf"(?i:account{S}of){S}{_TITLE}?(?P<n>{N})(?=,{S}(?i:id){S})",
-    rf"(?i:sat{S}went{S}to){S}{_TITLE}?(?P<n>{N})(?=,{S}(?:\d|(?i:p\.?o\.?{S}box)))",
-    rf"(?i:signed):{S}{_TITLE}?(?P<n>{N})(?=,{S}(?:\d|(?i:p\.?o\.?{S}box)))",
-    rf"(?i:badge{S}for){S}{_TITLE}?(?P<n>{N})(?={S}(?i:was{S}issued))",
-    rf"(?i:ask{S}for|pregunte{S}por|(?:et|y){S}(?:de{S})?(?:demander|preguntar{S}por)){S}{_TITLE}?(?P<n>{N})(?={S}(?i:before|antes|avant))",
-    rf"(?i:und{S}nach){S}{_TITLE}?(?P<n>{N})(?={S}(?i:fragen|verlangen))",
-    rf"(?i:spoke{S}with|talked{S}(?:to|with)|heard{S}from|waiting{S}for|met{S}with){S}{_TITLE}?(?P<n>{N})(?={S}(?i:about))",
-    rf",\"{S}(?i:wrote){S}{_TITLE}?(?P<n>{N})(?={S}(?i:in{S}the{S}log))",
-    rf"(?:^|(?<=[\n.!?:> ]))(?i:to|cc|from|bcc|an|de|para):?{S}(?P<n>{N})(?={S}<[^\s<>]{{0,80}}(?:@|[ \t]*[\(\[ ][ \t]*(?i:at)))",
-    rf"\"(?i:who|name|user|author)\":[ \t]?\"(?P<n>{N})(?=\")",
-    rf"(?:^|\n)[ \t>]*(?i:name):[ \t]{{1,6}}(?P<n>{N})(?=[ \t]*(?:\n|$))",
-    rf"(?:^|(?<=[\n ]))\d{{1,2}}\)[ \t]{{1,4}}(?P<n>{N})(?=[ \t]{{1,3}}/[ \t])",
-    rf"(?:^|(?<=\n))[ \t]*(?P<n>{N})(?=;[ \t]?(?:\+|\(|0)?\d)",
-    rf"(?:^|(?<=[\n :.])){_TITLE}(?P<n>{N})(?={S}(?i:asked|a{S}pris|tomó|called|wrote))",
-    rf"(?i:übergabe{S}an){S}{_TITLE}(?P<n>{N})(?=,{S}(?i:erreichbar))",
-    rf"(?i:(?:thx|thanks|thank{S}you|merci|gracias|danke)){S}(?P<n>{N})(?=,{S}\p{{L}})",
-    rf"(?:^|(?<=[\n.!?…:;,\"( ]))(?i:según|d'après|laut|according{S}to|selon){S}{_TITLE}?(?P<n>{N})(?=[,:])",
-    rf"(?i:mark{S}it{S}for|zu{S}händen(?:{S}von)?|à{S}l'attention{S}de|a{S}la{S}atención{S}de|c/o|attn\.?:?){S}{_TITLE}?(?P<n>{N}){_END}",
-    rf"(?i:mark{S}it{S}for|zu{S}händen(?:{S}von)?|à{S}l'attention{S}de|a{S}la{S}atención{S}de){S}{_TITLE}?(?P<n>{C})",
-    rf"(?i:présentée?{S}à{S}l'accueil{S}par|mostrado{S}en{S}recepción{S}por){S}{_TITLE}?(?P<n>{N}){_END}",
-    rf"(?i:steuernummer|dni|documento|sécurité{S}sociale|ausweis|social{S}security{S}number){S}(?:[\dA-Z]{{1,10}}[ \t-]{{1,3}}){{1,8}}(?i:von|de){S}(?P<n>{N}){_END}",
-    rf"(?i:steuernummer|dni|documento|sécurité{S}sociale){S}(?:[\dA-Z]{{1,10}}[ \t-]{{1,3}}){{1,8}}(?i:von|de){S}(?P<n>{C})",
-    rf"(?:(?<=\d)|(?<=\d ))[ \t]*--[ \t]{{1,3}}(?P<n>{_G}){_END}",
-    rf"(?:(?<=\d)|(?<=\d ))[ \t]*--[ \t]{{1,3}}(?P<n>{_CG})",
-    rf"(?:^|\n)--[ \t]*\n(?P<n>{N})(?=[ \t]*(?:\n|$))",
-    rf"(?:^|\n)[ \t]*(?i:best|regards|(?:kind|best|warm){S}regards|cheers|thanks|sincerely|yours|cordialement|bien{S}à{S}vous|bonne{S}journée|amicalement|(?:un{S})?(?:cordial{S})?saludos?|atentamente|viele{S}grüße|mit{S}freundlichen{S}grüßen|beste{S}grüße|gruß|lg|mfg),?[ \t]*\n[ \t]*(?P<n>{N})(?=[ \t]*(?:\n|$|[.!?]))",
+    (("visitor",), rf"(?i:visitor){S}{_TITLE}?(?P<n>{N}),{S}(?i:host){S}{_TITLE}?(?P<m>{N}){_END}"),
+    (("between",), rf"(?i:agreed{S}between){S}{_TITLE}?(?P<n>{N}){S}(?i:and){S}{_TITLE}?(?P<m>{N})(?={S}(?i:that))"),
+    (("account",), rf"(?i:account{S}of){S}{_TITLE}?(?P<n>{N})(?=,{S}(?i:id){S})"),
+    (("went",), rf"(?i:sat{S}went{S}to){S}{_TITLE}?(?P<n>{N})(?=,{S}(?:\d|(?i:p\.?o\.?{S}box)))"),
+    (("signed",), rf"(?i:signed):{S}{_TITLE}?(?P<n>{N})(?=,{S}(?:\d|(?i:p\.?o\.?{S}box)))"),
+    (("badge",), rf"(?i:badge{S}for){S}{_TITLE}?(?P<n>{N})(?={S}(?i:was{S}issued))"),
+    (("ask", "pregunt", "demander",), rf"(?i:ask{S}for|pregunte{S}por|(?:et|y){S}(?:de{S})?(?:demander|preguntar{S}por)){S}{_TITLE}?(?P<n>{N})(?={S}(?i:before|antes|avant))"),
+    (("fragen", "verlangen",), rf"(?i:und{S}nach){S}{_TITLE}?(?P<n>{N})(?={S}(?i:fragen|verlangen))"),
+    (("about",), rf"(?i:spoke{S}with|talked{S}(?:to|with)|heard{S}from|waiting{S}for|met{S}with){S}{_TITLE}?(?P<n>{N})(?={S}(?i:about))"),
+    (("wrote",), rf",\"{S}(?i:wrote){S}{_TITLE}?(?P<n>{N})(?={S}(?i:in{S}the{S}log))"),
+    (("<",), rf"(?:^|(?<=[\n.!?:> ]))(?i:to|cc|from|bcc|an|de|para):?{S}(?P<n>{N})(?={S}<[^\s<>]{{0,80}}(?:@|[ \t]*[\(\[ ][ \t]*(?i:at)))"),
+    (('"who"', '"name"', '"user"', '"author"',), rf"\"(?i:who|name|user|author)\":[ \t]?\"(?P<n>{N})(?=\")"),
+    (("name:",), rf"(?:^|\n)[ \t>]*(?i:name):[ \t]{{1,6}}(?P<n>{N})(?=[ \t]*(?:\n|$))"),
+    (("/",), rf"(?:^|(?<=[\n ]))\d{{1,2}}\)[ \t]{{1,4}}(?P<n>{N})(?=[ \t]{{1,3}}/[ \t])"),
+    ((";",), rf"(?:^|(?<=\n))[ \t]*(?P<n>{N})(?=;[ \t]?(?:\+|\(|0)?\d)"),
+    (("asked", "pris", "tomó", "called", "wrote",), rf"(?:^|(?<=[\n :.])){_TITLE}(?P<n>{N})(?={S}(?i:asked|a{S}pris|tomó|called|wrote))"),
+    (("übergabe",), rf"(?i:übergabe{S}an){S}{_TITLE}(?P<n>{N})(?=,{S}(?i:erreichbar))"),
+    (("thx", "thank", "merci", "gracias", "danke",), rf"(?i:(?:thx|thanks|thank{S}you|merci|gracias|danke)){S}(?P<n>{N})(?=,{S}\p{{L}})"),
+    (("según", "d'après", "laut", "according", "selon",), rf"(?:^|(?<=[\n.!?…:;,\"( ]))(?i:según|d'après|laut|according{S}to|selon){S}{_TITLE}?(?P<n>{N})(?=[,:])"),
+    (("mark", "händen", "attention", "atención", "c/o", "attn",), rf"(?i:mark{S}it{S}for|zu{S}händen(?:{S}von)?|à{S}l'attention{S}de|a{S}la{S}atención{S}de|c/o|attn\.?:?){S}{_TITLE}?(?P<n>{N}){_END}"),
+    (("mark", "händen", "attention", "atención",), rf"(?i:mark{S}it{S}for|zu{S}händen(?:{S}von)?|à{S}l'attention{S}de|a{S}la{S}atención{S}de){S}{_TITLE}?(?P<n>{C})"),
+    (("présenté", "mostrado",), rf"(?i:présentée?{S}à{S}l'accueil{S}par|mostrado{S}en{S}recepción{S}por){S}{_TITLE}?(?P<n>{N}){_END}"),
+    (("steuernummer", "dni", "documento", "sécurité", "ausweis", "security",), rf"(?i:steuernummer|dni|documento|sécurité{S}sociale|ausweis|social{S}security{S}number){S}(?:[\dA-Z]{{1,10}}[ \t-]{{1,3}}){{1,8}}(?i:von|de){S}(?P<n>{N}){_END}"),
+    (("steuernummer", "dni", "documento", "sécurité",), rf"(?i:steuernummer|dni|documento|sécurité{S}sociale){S}(?:[\dA-Z]{{1,10}}[ \t-]{{1,3}}){{1,8}}(?i:von|de){S}(?P<n>{C})"),
+    (("--",), rf"(?:(?<=\d)|(?<=\d ))[ \t]*--[ \t]{{1,3}}(?P<n>{_G}){_END}"),
+    (("--",), rf"(?:(?<=\d)|(?<=\d ))[ \t]*--[ \t]{{1,3}}(?P<n>{_CG})"),
+    (("--",), rf"(?:^|\n)--[ \t]*\n(?P<n>{N})(?=[ \t]*(?:\n|$))"),
+    (("best", "regards", "cheers", "thanks", "sincerely", "yours", "cordialement", "bien", "journée", "amicalement", "saludo", "atentamente", "grüße", "gruß", "lg", "mfg",), rf"(?:^|\n)[ \t]*(?i:best|regards|(?:kind|best|warm){S}regards|cheers|thanks|sincerely|yours|cordialement|bien{S}à{S}vous|bonne{S}journée|amicalement|(?:un{S})?(?:cordial{S})?saludos?|atentamente|viele{S}grüße|mit{S}freundlichen{S}grüßen|beste{S}grüße|gruß|lg|mfg),?[ \t]*\n[ \t]*(?P<n>{N})(?=[ \t]*(?:\n|$|[.!?]))"),
 )
 #: "On-call from <time>: A, then B, then C."
 ON_CALL = rf"(?i:on-call{S}from){S}[\d:T.Z/-]{{4,25}}:{S}"
@@ -238,24 +240,26 @@ class Finder:
         self.phone = [regex.compile(p, regex.I) for p in PHONE]
         self.ids = [regex.compile(p) for p in ID_NUMBER]
         self.labelled = regex.compile(ID_LABELLED)
+        self.code = regex.compile(r"\d{5}[ \t]")
         self.address = [regex.compile(p) for p in ADDRESS]
-        self.names = [regex.compile(p) for p in NAME_PLACES]
+        self.names = [(words, regex.compile(p)) for words, p in NAME_PLACES]
         self.on_call, self.then, self.next = (regex.compile(p) for p in (ON_CALL, _THEN, _NEXT))
         self.things = regex.compile(_THINGS)
-        self.behind = [(regex.compile(a, regex.I), regex.compile(b)) for a, b in ((DOES, _DOER), (DO, _DOERS))]
+        self.behind = [(words, regex.compile(a, regex.I), regex.compile(b)) for words, a, b in ((DOES_WORDS, DOES, _DOER), (DO_WORDS, DO, _DOERS))]
         self.spelt = [regex.compile(_AT_SIGNED, regex.I), regex.compile(_DOT_WORD, regex.I)]
 
     def _candidates(self, t: str) -> Iterator[tuple[int, int, str]]:
         """By falling precedence."""
         for p, sign in zip(self.email, (None, *self.spelt), strict=True):
-            if sign is None or sign.search(t):
+            if "@" in t if sign is None else sign.search(t):
                 yield from ((*m.span(), "email") for m in p.finditer(t))
         for p in self.ids:
             yield from ((*m.span(), "id_number") for m in p.finditer(t))
         yield from ((*m.span("id"), "id_number") for m in self.labelled.finditer(t))
         for p in self.phone:
             yield from ((*m.span(), "phone") for m in p.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 20)
-        for p in self.address:
+        coded = self.code.search(t) is not None
+        for p in self.address if coded else self.address[:-1]:  # the last of them ends in a post code
             yield from ((*m.span(), "address") for m in p.finditer(t))
         for m in self.on_call.finditer(t):
             at = m.end()
@@ -264,12 +268,13 @@ class Finder:
                 if not (more := self.next.match(t, n.end())):
                     break
                 at = more.end()
-        for does, who in self.behind:
-            for verb in does.finditer(t):
+        low = t.lower()
+        for words, does, who in self.behind:
+            for verb in does.finditer(t) if any(w in low for w in words) else ():
                 if m := who.search(t, max(0, verb.start() - _REACH), verb.start()):
                     yield from ((*m.span(g), "name") for g in ("n", "m") if g in who.groupindex and m.span(g)[0] >= 0)
-        for p in self.names:
-            for m in p.finditer(t):
+        for words, p in self.names:
+            for m in p.finditer(t) if any(w in low for w in words) else ():
                 for group in ("n", "m"):
                     if group in p.groupindex and m.span(group)[0] >= 0:
                         yield (*m.span(group), "name")
