@@ -13,10 +13,10 @@ from . import marts, views
 # ---------------------------------------------------------------- SQL pieces
 
 ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
-_T = f"(select * replace ({ID.format('txid')} as txid, {ID.format('event_id')} as event_id), strftime(received_at, '%Y-%m-%d') as dt, cast(hour(received_at) as integer) as hour from transactions)"
+_T = f"(select * replace ({ID.format('txid')} as txid, {ID.format('event_id')} as event_id), strftime(timezone('UTC', received_at), '%Y-%m-%d') as dt, cast(hour(timezone('UTC', received_at)) as integer) as hour from transactions)"
 _S = f"(select * replace ({ID.format('txid')} as txid, {ID.format('event_id')} as event_id) from serving_transactions)"
 _E = f"""(select * from (select * replace ({ID.format('event_id')} as event_id, {ID.format('txid')} as txid, {ID.format('event_type')} as event_type),
-strftime(event_time, '%Y-%m-%d') as dt, cast(hour(event_time) as integer) as hour from lifecycle_events)
+strftime(timezone('UTC', event_time), '%Y-%m-%d') as dt, cast(hour(timezone('UTC', event_time)) as integer) as hour from lifecycle_events)
 where txid is not null and event_time is not null and event_type in ('added', 'removed', 'mined', 'replaced'))"""
 _RANK = "case event_type when 'mined' then 4 when 'replaced' then 3 when 'removed' then 2 else 1 end"
 _STATUS = "case {0} when 'added' then 'observed_unconfirmed' when 'removed' then 'removed_unknown_reason' when 'mined' then 'confirmed' when 'replaced' then 'superseded' end"
@@ -54,7 +54,7 @@ def query(sql: str | None = None):
 # ---------------------------------------------------------------- named SQL, staging and marts
 
 
-@query("select strftime(received_at, '%Y-%m-%d') as dt, cast(hour(received_at) as integer) as hour, count(*) as transactions, count(*) filter (where is_flagged) as flagged, round(100.0::double * count(*) filter (where is_flagged) / count(*), 2) as flag_rate_pct from transactions group by 1, 2")
+@query("select strftime(timezone('UTC', received_at), '%Y-%m-%d') as dt, cast(hour(timezone('UTC', received_at)) as integer) as hour, count(*) as transactions, count(*) filter (where is_flagged) as flagged, round(100.0::double * count(*) filter (where is_flagged) / count(*), 2) as flag_rate_pct from transactions group by 1, 2")
 def hourly_flag_rate(spark, sf_dir):
     return views.run_query(spark, sf_dir, "hourly_flag_rate")
 
@@ -653,3 +653,34 @@ def stream_dedup(spark, sf_dir):
     kept = first_deliveries(m).groupBy(clean_name(F.col("message_id")).isNull().alias("nameless")).agg(F.count("*").alias("n"))
     both = spark.createDataFrame([(False,), (True,)], "nameless boolean").join(kept, "nameless", "left")
     return both.select(F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# ---------------------------------------------------------------- times as both engines print them
+
+#: Columns of instants in the results; the SQL gives them as UTC times without a zone, as Spark's rows hold them.
+_TIMES = {
+    "capture_coverage": "started_at",
+    "stg_transactions": "received_at",
+    "stg_lifecycle_events": "event_time",
+    "stg_capture_sessions": "started_at ended_at",
+    "int_transaction_lifecycle": "first_event_at last_event_at",
+    "fct_transactions": "first_received_at last_event_at",
+    "dim_capture_sessions": "started_at ended_at",
+    "source_freshness": "latest",
+    "first_observation": "received_at",
+    "first_last_seen": "first_seen_at last_seen_at",
+    "serving_rebuild": "first_seen_at last_seen_at",
+    "alerts_page": "received_at",
+    "alerts_keyset_page": "received_at",
+    "alerts_panel": "received_at",
+    "tx_lookup": "event_time",
+    "model_inventory": "latest_received_at",
+    "pipeline_status": "latest_score_received_at latest_event_time",
+    "minute_series": "minute",
+    "manifest_sessions": "first_received_at last_received_at",
+    "split_dedup": "received_at",
+    "quality_gate_good": "received_at",
+    "test_flag_matches_signals": "first_received_at last_event_at",
+}
+for _name, _columns in _TIMES.items():
+    ORACLE[_name] = f"select * replace ({', '.join(f"timezone('UTC', {c}) as {c}" for c in _columns.split())}) from ({ORACLE[_name]})"

@@ -169,5 +169,5 @@ ORACLE = {
 union all select 'events', {_id("event_id")} as i, -1, cast(-1 as bigint) from lifecycle_events where {_id("event_id")} <> '' group by i having count(*) > 1""",
     "p4_messages": f"with m as ({_P4_MESSAGES}) select id as message_id, kafka_partition, kafka_offset, session_id from m where rn = 1",
     "p5_found": f"{_P5} select txid, event_id from last where rn = 1 and event_type <> 'removed'",
-    "p5_state": f"{_P5} select txid, event_id, event_type, event_time, source_sequence from last where rn = 1 and event_type <> 'removed'",
+    "p5_state": f"{_P5} select txid, event_id, event_type, timezone('UTC', event_time) as event_time, source_sequence from last where rn = 1 and event_type <> 'removed'",
 }
