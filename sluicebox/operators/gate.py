@@ -18,19 +18,18 @@ from ..contracts import Contract, Field
 from ..functions.ids import iso_instant
 from ..functions.once import once
 from ..session import hadoop_path, stored, write_atomically
-from .normalise import kind_of, member
+from .normalise import kind_from, kind_of, member
 
 _WANTED = {"string": ("string",), "bigint": ("integer",), "int": ("integer",), "double": ("integer", "decimal", "huge"), "boolean": ("boolean",), "timestamp": ("string",), "array<string>": ("list",)}
 
 
-def _written_as(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return F.when(s == "BOOLEAN", F.lit("boolean")).when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), F.when(s.rlike(r"^DECIMAL\(\d+,0\)$"), F.lit("huge")).otherwise(F.lit("decimal"))).otherwise(kind_of(v))
+def _written_as(s: Column) -> Column:
+    return F.when(s == "BOOLEAN", F.lit("boolean")).when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), F.when(s.rlike(r"^DECIMAL\(\d+,0\)$"), F.lit("huge")).otherwise(F.lit("decimal"))).otherwise(kind_from(s))
 
 
-def _typed(v: Column, f: Field) -> Column:
+def _typed(v: Column, written: Column, f: Field) -> Column:
     """The value in its type; null where it is missing or not of that type."""
-    right = _written_as(v).isin(*_WANTED[f.kind])
+    right = written.isin(*_WANTED[f.kind])
     if f.kind == "timestamp":
         value = F.date_trunc("millisecond", iso_instant(F.try_variant_get(v, "$", "string")))
     elif f.kind == "array<string>":
@@ -47,15 +46,17 @@ def checked(rows: DataFrame, contract: Contract, row: str = "row", order: tuple[
     """typed STRUCT, failures ARRAY<STRING> (codes, empty for a good row), and row and order as they came."""
     if {f.name for f in contract.fields} & set(rows.columns):
         raise ValueError("columns beside the row must not be named like columns of the contract")
-    absent = lambda x: x.isNull() | (kind_of(x) == "null_value")
+    absent = lambda f: F.coalesce(F.col(f"__w.{f.name}"), F.lit("null_value")) == "null_value"
     out = once(rows.select(row, *order), **{row: F.col(row)})
     out = once(out, __m=F.struct(*[member(F.col(row), f"$.{f.name}").alias(f.name) for f in contract.fields]))
     v = lambda f: F.col(f"__m.{f.name}")
-    out = once(out, typed=F.struct(*[_typed(v(f), f).alias(f.name) for f in contract.fields]))
+    out = once(out, __s=F.struct(*[F.schema_of_variant(v(f)).alias(f.name) for f in contract.fields]))
+    out = once(out, __w=F.struct(*[_written_as(F.col(f"__s.{f.name}")).alias(f.name) for f in contract.fields]))
+    out = once(out, typed=F.struct(*[_typed(v(f), F.col(f"__w.{f.name}"), f).alias(f.name) for f in contract.fields]))
     codes = []
     for f in contract.fields:
         wrong = F.col(f"typed.{f.name}").isNull()
-        codes.append(F.when(wrong & ~absent(v(f)) if f.nullable else wrong, F.lit(f"type:{f.name}")))
+        codes.append(F.when(wrong & ~absent(f) if f.nullable else wrong, F.lit(f"type:{f.name}")))
     flat = once(out, types=F.array_compact(F.array(*codes))).select("*", "typed.*")
     checks = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(text), F.lit(False)), F.lit(f"check:{name}")) for name, text in contract.checks]))
     flat = once(flat, failures=F.when(F.size("types") > 0, F.col("types")).otherwise(checks))

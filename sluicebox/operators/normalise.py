@@ -25,7 +25,11 @@ TXID = r"^[0-9a-fA-F]{64}\z"
 
 def kind_of(v: Column) -> Column:
     """object, list, string, integer or other; null for no value, null_value for a JSON null."""
-    s = F.schema_of_variant(v)
+    return kind_from(F.schema_of_variant(v))
+
+
+def kind_from(s: Column) -> Column:
+    """The same from the schema of a variant as text, for places that have it as a column."""
     return (
         F.when(s == "VOID", F.lit("null_value"))
         .when(s.startswith("OBJECT"), F.lit("object"))

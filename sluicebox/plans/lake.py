@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
 from ..operators import assertions, dataset, evaluate, first_wins, serving
+from ..session import spread
 from ..sources import table
 from . import marts, views
 
@@ -484,7 +485,7 @@ def normalised_events(spark, sf_dir):
     """Every entry of every delivery as an event with its deterministic id."""
     from ..operators import normalise
 
-    found = normalise.events(table(spark, sf_dir, "mempool_messages"))
+    found = normalise.events(spread(table(spark, sf_dir, "mempool_messages")))
     return found.select("event_id", "source_message_id", "event_type", "source_sequence", "txid", "replacement_txid")
 
 
@@ -498,7 +499,7 @@ union all select channel || '.' || kind || '[' || i || '] has no usable replacem
 def message_issues(spark, sf_dir):
     from ..operators import normalise
 
-    rows = table(spark, sf_dir, "mempool_messages")
+    rows = spread(table(spark, sf_dir, "mempool_messages"))
     return normalise.issues(rows, ["kafka_partition", "kafka_offset"]).groupBy("detail").agg(F.count("*").alias("n"))
 
 
@@ -536,7 +537,7 @@ def rule_disagreements(spark, sf_dir):
 
 
 def _gate_rows(spark, sf_dir) -> DataFrame:
-    t = table(spark, sf_dir, "transactions")
+    t = spread(table(spark, sf_dir, "transactions"))
     row = F.parse_json(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}))
     return t.select(row.alias("row"), F.struct("received_at", "session", "event_id", F.col("txid").alias("t")).alias("ord"))
 
@@ -575,8 +576,9 @@ def iforest_scores(spark, sf_dir):
     from ..operators import forest
 
     t = views.cleaned_transactions(spark, sf_dir)
+    every = spread(t)
     train = t.join(table(spark, sf_dir, "split_sessions").where("split_name = 'train'"), "session", "left_semi")
-    return forest.score(t, forest.fit(train, key="event_id")).select("event_id", F.round("score", 9).alias("score"))
+    return forest.score(every, forest.fit(train, key="event_id")).select("event_id", F.round("score", 9).alias("score"))
 
 
 @query()
@@ -638,7 +640,7 @@ def stream_lake(spark, sf_dir):
     from ..streaming import lake as stream
 
     base = scratch(spark, "stream")
-    table(spark, sf_dir, "mempool_messages").select("schema_version", "run_id", "session_id", "message_id", "received_at", "source_mode", "message_type", "raw_text").write.parquet(f"{base}/in")
+    table(spark, sf_dir, "mempool_messages").select("schema_version", "run_id", "session_id", "message_id", "received_at", "source_mode", "message_type", "raw_text").transform(spread).write.parquet(f"{base}/in")
     stream.stream_to_lake(message_stream(spark, "file", path=f"{base}/in"), f"{base}/lake", f"{base}/checkpoint").awaitTermination()
     return gate.read_lake(spark, f"{base}/lake", LIFECYCLE_EVENTS).groupBy("event_type").agg(F.count("*").alias("n"))
 

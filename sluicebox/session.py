@@ -59,6 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """A scan spread over all cores before work that is heavy for each row, where its files make too few tasks for that.
+
+    A scan that has enough tasks of its own (any large table) is left alone, so nothing is shuffled at scale. Meant for
+    scans: the number of partitions of a plan with shuffles is known only by running it.
+    """
+    want = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the Hadoop API, for the few operations that Spark's writers lack."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
