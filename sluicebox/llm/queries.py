@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import spread, stored
 from ..sources import table
 from . import mixing, pii, split_overlap, tokens
 
@@ -32,7 +32,7 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return tokens.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    sizes = tokens.count_tokens(documents.select("doc_id", "text"))
+    sizes = tokens.count_tokens(spread(documents.select("doc_id", "text")))
     return stored(documents.select("doc_id", "source").join(sizes, "doc_id"), "sizes")
 
 
@@ -60,12 +60,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, start_char, end_char of each span that p8_replaced replaces."""
-    return pii.found(table(spark, sf_dir, "documents"))
+    return pii.found(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p8_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text_out: the texts with typed placeholders."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text_out")
+    return pii.pseudonymise(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "text_out")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced)}
