@@ -384,7 +384,8 @@ def pseudonymise(documents: DataFrame, text: str = "text", key: str = KEY, into:
                 outs.append("".join([*parts, t[at:]]))
             yield pd.DataFrame({"o": outs, "s": found})
 
-    udf = F.pandas_udf(_typed(run), f"o string, s {SPANS}")
+    # Not deterministic for the optimizer, which else evaluates it a second time in a filter inferred from explode.
+    udf = F.pandas_udf(_typed(run), f"o string, s {SPANS}").asNondeterministic()
     return documents.withColumn("__pii", udf(F.col(text))).select(*[F.col(f"`{c}`") for c in documents.columns], F.col("__pii.o").alias(into), F.col("__pii.s").alias(spans))
 
 
