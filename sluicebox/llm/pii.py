@@ -71,7 +71,7 @@ _SPELT_LOCAL = rf"{_LOCAL}(?:{_DOT_WORD}{_WORD})*"
 EMAIL = (
     rf"(?<![\p{{L}}\p{{N}}_.+%'-]){_LOCAL}@{_LABEL}(?:\.{_LABEL})*\.\p{{L}}{{2,}}",
     rf"(?<![\p{{L}}\p{{N}}_.+%'-]){_SPELT_LOCAL}{_AT_SIGNED}{_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*(?:{_DOT_WORD}|\.)\p{{L}}{{2,}}",
-    rf"(?<![\p{{L}}\p{{N}}_.+%'\"-])(?<!\"){_SPELT_LOCAL}{_AT_WORD}{_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*{_DOT_WORD}\p{{L}}{{2,}}",
+    rf"(?<![\p{{L}}\p{{N}}_.+%'-]){_SPELT_LOCAL}{_AT_WORD}{_LABEL}(?:(?:{_DOT_WORD}|\.){_LABEL})*{_DOT_WORD}\p{{L}}{{2,}}",
 )
 
 #: Words that make the number after them a ticket, run or shipment, not a person's.

@@ -179,6 +179,7 @@ SPANS = [
     ("Please call +1 (415) 555-0123 ext. 7 and ask for Tiro von Vespamura before noon.", [("phone", "+1 (415) 555-0123 ext. 7"), ("name", "Tiro von Vespamura")]),
     ("Write to ann.bee+x@mail.example.test, or to cee_d (at) feed (dot) example.", [("email", "ann.bee+x@mail.example.test"), ("email", "cee_d (at) feed (dot) example")]),
     ("Write \"at feed dot com\" in a label. Escalated to bo at mail dot test.", [("email", "bo at mail dot test")]),
+    ('{"who":"Bo Okuba","mail":"bo.d AT mail DOT test","tx":"1"}', [("name", "Bo Okuba"), ("email", "bo.d AT mail DOT test")]),
     ("see p0@270072354. The root@ field and @here are no addresses; raw@1:123.", []),
     ("Totals went to +1 026 284, then 01.99.58, then 977-799 sat at 2026-03-01.", []),
     ("Open batch 666-73-1065 and job 0067815572, QT-3627-4706.", []),
