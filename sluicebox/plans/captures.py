@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The channels and kinds of the provider's messages, in their order. Fixed values.
-CHANNELS = ("mempool-transactions", "mempool-txids")
-KINDS = ("added", "removed", "mined", "replaced")
+from ..operators.normalise import CHANNELS, KINDS
 
 
 def entries(messages: DataFrame) -> DataFrame:
