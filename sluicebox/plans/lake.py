@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import clean_id
-from ..operators import assertions, dataset, evaluate, first_wins, serving
+from ..operators import assertions, dataset, evaluate, features, first_wins, serving
 from ..session import spread
 from ..sources import table
 from . import marts, views
@@ -442,6 +442,32 @@ def tail_percentiles(spark, sf_dir):
     return evaluate.tail_positions(test, train, "event_id", _TAIL)
 
 
+#: The rows that the model can take have all of their features (reference: rows with a null feature are left out, never filled in).
+_WHOLE = " and ".join(f"{f} is not null" for f in features.FEATURES)
+
+
+def _whole_in(split: str) -> str:
+    return f"from {_T} where {_WHOLE} and session in (select session from split_sessions where split_name = '{split}')"
+
+
+def _all_features(spark, sf_dir, *columns: str) -> DataFrame:
+    """split_name, columns and all features as doubles (the flag as 0 or 1), of the rows that have them all."""
+    t = views.cleaned_transactions(spark, sf_dir).join(table(spark, sf_dir, "split_sessions"), "session").where(_WHOLE)
+    return t.select("split_name", *columns, *[F.col(f).cast("double").alias(f) for f in features.FEATURES])
+
+
+_ALL_TAILS = " union all ".join(f"select event_id, '{f}' as feature, cast({f} as double) as value {_whole_in('test')}" for f in features.FEATURES)
+_ALL_REFS = " union all ".join(f"select '{f}' as feature, cast({f} as double) as value, count(*) as n {_whole_in('train')} group by 2" for f in features.FEATURES)
+
+
+@query(ORACLE["tail_percentiles"].replace(_REFS, _ALL_REFS).replace(_TAILS, _ALL_TAILS))
+def tail_percentiles_all(spark, sf_dir):
+    """The three most extreme of all model columns; tail_percentiles ranks four of them only."""
+    t = _all_features(spark, sf_dir, "event_id")
+    test = t.where("split_name = 'test'").drop("split_name").distinct()
+    return evaluate.tail_positions(test, t.where("split_name = 'train'"), "event_id", features.FEATURES)
+
+
 @query(f"""with c as (select score from {_SCORES} join split_sessions using (session) where split_name = 'calibration' and score is not null), t as (select distinct score from {_SCORES} join split_sessions using (session) where split_name = 'test' and score is not null),
 m as (select score, 1 as w, 0 as q from c union all select score, 0, 1 from t), s as (select score, q, sum(w) over (order by score, q rows between unbounded preceding and current row) as u from m)
 select score, round(u / (select count(*) from c)::double, 9) as ecdf from s where q = 1""")
@@ -510,8 +536,6 @@ case when bool_or(l_returnflag = 'R') then true when bool_and(l_returnflag in ('
 select *, cast(round(l_extendedprice * 100) as bigint) // 50000 * 50000 as v, count(*) over (partition by l_orderkey, cast(round(l_extendedprice * 100) as bigint) // 50000 * 50000) as c from lineitem) group by 1)""")
 def feature_projection(spark, sf_dir):
     """Features of transactions made of order lines: outputs from prices, sequences from return flags."""
-    from ..operators import features
-
     v = F.floor(F.round(F.col("l_extendedprice") * 100).cast("bigint") / 50000).cast("bigint") * 50000
     sequence = F.when(F.col("l_returnflag") == "R", F.lit(0xFFFFFFFD)).when(F.col("l_returnflag") == "A", F.lit(0xFFFFFFFF))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("txid")).agg(F.collect_list(F.struct(v.alias("v"), sequence.cast("bigint").alias("s"))).alias("l"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))

@@ -267,6 +267,27 @@ def test_budget_and_ranks(spark):
     assert tuple(evaluate.agreement(none, "a", "b").first()) == (0, 0, 0, 1, None)
 
 
+def test_tails_are_taken_over_all_features(spark, sf):
+    import numpy as np
+
+    import __spark_entry__ as entry
+    from sluicebox.sources import table
+
+    t = table(spark, sf, "transactions").join(table(spark, sf, "split_sessions"), "session").dropna(subset=list(features.FEATURES)).toPandas()
+    train, test = (t[t.split_name == s] for s in ("train", "test"))
+    got = {}
+    for r in entry.queries()["tail_percentiles_all"](spark, sf).collect():
+        got.setdefault(r.event_id, []).append((-r.extremeness, r.feature, r.training_percentile))
+    assert {e.strip().lower() for e in test.event_id} == set(got)
+    for _, row in test.iterrows():
+        want = []
+        for f in features.FEATURES:
+            ref, v = train[f].to_numpy(dtype=float), float(row[f])
+            p = (np.sum(ref < v) + 0.5 * np.sum(ref == v)) / len(ref)
+            want.append((-round(abs(p - 0.5) * 2, 4), f, round(p, 4)))
+        assert [(f, p) for _, f, p in sorted(got[row.event_id.strip().lower()])] == [(f, pytest.approx(p, abs=1.01e-4)) for _, f, p in sorted(want)[:3]]
+
+
 # ---------------------------------------------------------------- models
 
 
