@@ -3,8 +3,9 @@
 A change of a key is a function on that key's row. In this feed every change states its outcome in full (row present,
 with this change as its last, or row absent), so the composition of two changes is the later of them, where "later" is
 a total order on the changes themselves and not on their arrival. That composition is associative, commutative and
-idempotent: chunks of the feed can be composed in any grouping, in parallel, even within one hot key, and a repeated or
-late change does no harm. Spark's two-phase aggregation is that tree: each task composes its range of the feed to one
+idempotent: chunks of the feed can be composed in any grouping, in parallel, even within one hot key. A repeated event
+is one change at its earliest time, so its time may still move down: what is kept between batches are the changes by
+event (`changes_kept`), not their composition; with those, a repeated or late change does no harm. Spark's two-phase aggregation is that tree: each task composes its range of the feed to one
 patch per key before anything is shuffled, the shuffle carries patches only, and the results are applied to the base.
 
 Defined results: null keys, null times and unknown operations are no changes; an empty feed leaves the base as it is;
@@ -46,6 +47,11 @@ def distinct_changes(feed: DataFrame, key: str = "txid", event: str = "event_id"
         F.col(sequence).cast("bigint").alias("q"),
         rank.alias("r"),
     ).where("k is not null and t is not null and r is not null")
+    return _each_once(rows)
+
+
+def _each_once(rows: DataFrame) -> DataFrame:
+    """(e, k, t, q, r) with one row of each event: the same choice whether the rows come at once or in batches."""
     named = (
         rows.where("e is not null")
         .groupBy("e")
@@ -64,35 +70,47 @@ def compose(changes: DataFrame) -> DataFrame:
 def current_state(feed: DataFrame, base: DataFrame | None = None, deletes: tuple[str, ...] = DELETES, operations: tuple[str, ...] = OPERATIONS, **columns: str) -> DataFrame:
     """(txid, event_id, event_type, event_time, source_sequence) of the keys that exist after the feed.
 
-    base: an earlier result of this function, onto which the feed is applied; its rows join the composition as patches,
-    so a late change of the feed cannot overtake a newer one already applied. A base holds no trace of keys that were
-    deleted before; replay of their older changes needs the feed from before the deletion or a base kept with tombstones
-    (`tombstones=True` in `state_with_tombstones`).
+    base: what `changes_kept` gave of the feed so far; the result is that of the whole feed at once, whatever is
+    repeated, late, or deleted in between. A base of states alone (of `state_with_tombstones`) holds the last change of
+    each key only, which is enough just as long as no event is repeated in another batch.
     """
     state = state_with_tombstones(feed, base, operations, **columns)
     return state.where(~F.col("event_type").isin(*deletes))
 
 
 def state_with_tombstones(feed: DataFrame, base: DataFrame | None = None, operations: tuple[str, ...] = OPERATIONS, **columns: str) -> DataFrame:
-    """As current_state, with deleted keys still there, by their last change: the form to keep between batches."""
+    """As current_state, with deleted keys still there, by their last change."""
+    return _named(compose(_changes(feed, base, operations, **columns)).select("k", "patch.e", F.bitwise_not("patch.nt").alias("t"), F.bitwise_not("patch.nq").alias("q"), F.negative("patch.nr").alias("r")), operations)
+
+
+def changes_kept(feed: DataFrame, base: DataFrame | None = None, operations: tuple[str, ...] = OPERATIONS, **columns: str) -> DataFrame:
+    """Each change of the feed and of the base once, in the columns of the state: the form to keep between batches.
+
+    A row per event, not per key: which change of a key is its last can change when an event is repeated at an earlier
+    time, and a repetition at a later time must be known for one, so none that has been seen may be forgotten.
+    """
+    return _named(_changes(feed, base, operations, **columns), operations)
+
+
+def _changes(feed: DataFrame, base: DataFrame | None, operations: tuple[str, ...], **columns: str) -> DataFrame:
     changes = distinct_changes(feed, **columns)
-    if base is not None:
-        held = base.select(
-            pack_id(clean_id(F.col("event_id"))).alias("e"),
-            pack_id(clean_id(F.col("txid"))).alias("k"),
-            F.unix_micros("event_time").alias("t"),
-            F.col("source_sequence").alias("q"),
-            operation_rank(F.col("event_type"), operations).alias("r"),
-        )
-        # A change that the base has applied and the feed repeats stands at its earliest time.
-        both = changes.unionByName(held)
-        named = both.where("e is not null").groupBy("e").agg(F.min(F.struct("t", "k", "q", "r")).alias("m")).select("e", "m.k", "m.t", "m.q", "m.r")
-        changes = named.unionByName(both.where("e is null"))
-    name = F.element_at(F.array(*map(F.lit, operations)), F.negative("patch.nr"))
-    return compose(changes).select(
+    if base is None:
+        return changes
+    held = base.select(
+        pack_id(clean_id(F.col("event_id"))).alias("e"),
+        pack_id(clean_id(F.col("txid"))).alias("k"),
+        F.unix_micros("event_time").alias("t"),
+        F.col("source_sequence").alias("q"),
+        operation_rank(F.col("event_type"), operations).alias("r"),
+    )
+    return _each_once(changes.unionByName(held))
+
+
+def _named(changes: DataFrame, operations: tuple[str, ...]) -> DataFrame:
+    return changes.select(
         unpack_id(F.col("k")).alias("txid"),
-        unpack_id(F.col("patch.e")).alias("event_id"),
-        name.alias("event_type"),
-        F.timestamp_micros(F.bitwise_not("patch.nt")).alias("event_time"),
-        F.bitwise_not("patch.nq").alias("source_sequence"),
+        unpack_id(F.col("e")).alias("event_id"),
+        F.element_at(F.array(*map(F.lit, operations)), F.col("r")).alias("event_type"),
+        F.timestamp_micros(F.col("t")).alias("event_time"),
+        F.col("q").alias("source_sequence"),
     )

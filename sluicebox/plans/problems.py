@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_name, iso_instant
 from ..operators import changefeed, compaction, redelivery, table_diff
-from ..session import scratch
+from ..session import scratch, stored
 from ..sources import table
 
 DIFF_IDS = ("txid", "event_id")
@@ -105,7 +105,15 @@ def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.current_state(events)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_summary, p4_found, p4_messages, p5_found, p5_state)}
+def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current table from two batches, the second applied to what is kept of the first: rows of one event fall in both."""
+    events = table(spark, sf_dir, "lifecycle_events")
+    later = F.pmod(F.xxhash64("event_id", "event_time", "event_type", "source_sequence"), F.lit(10)) == 0
+    kept = stored(changefeed.changes_kept(events.where(~later)), "changes")
+    return changefeed.current_state(events.where(later), kept)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_summary, p4_found, p4_messages, p5_found, p5_state, p5_batches)}
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -171,3 +179,4 @@ union all select 'events', {_id("event_id")} as i, -1, cast(-1 as bigint) from l
     "p5_found": f"{_P5} select txid, event_id from last where rn = 1 and event_type <> 'removed'",
     "p5_state": f"{_P5} select txid, event_id, event_type, timezone('UTC', event_time) as event_time, source_sequence from last where rn = 1 and event_type <> 'removed'",
 }
+ORACLE["p5_batches"] = ORACLE["p5_state"]

@@ -59,6 +59,22 @@ def test_batches_give_the_same_as_one_feed(spark):
     assert rows(both) == one
 
 
+def batched(spark, *batches):
+    kept = None
+    for b in batches:
+        kept = changefeed.changes_kept(spark.createDataFrame([(*r, "x") for r in b], FEED), kept)
+    return {r.txid: (r.event_id, r.event_type) for r in changefeed.current_state(spark.createDataFrame([], FEED), kept).collect()}
+
+
+def test_batches_may_repeat_an_event_at_another_time(spark):
+    mined, removed = ("e0", "t", "mined", at(5), 1), ("e1", "t", "removed", at(9), 1)
+    earlier, later = ("e1", "t", "removed", at(1), 1), ("e0", "t", "mined", at(20), 1)
+    assert state(spark, [mined, removed, earlier]) == batched(spark, [mined, removed], [earlier]) == {"t": ("e0", "mined")}
+    assert state(spark, [mined, removed, later]) == batched(spark, [mined, removed], [later]) == {}
+    tie = [("e2", "t", "added", at(1), 1), ("e2", "t", "mined", at(1), 2), ("e3", "t", "removed", at(1), 1)]
+    assert state(spark, tie) == batched(spark, tie[:1], tie[1:]) == batched(spark, tie[1:], tie[:1]) == {"t": ("e2", "mined")}
+
+
 # ---------------------------------------------------------------- differences
 
 COPY = "k string, s string, at timestamp, x double, n int, tags array<string>, l int"
