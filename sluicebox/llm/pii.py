@@ -240,7 +240,7 @@ class Finder:
         self.phone = [regex.compile(p, regex.I) for p in PHONE]
         self.ids = [regex.compile(p) for p in ID_NUMBER]
         self.labelled = regex.compile(ID_LABELLED)
-        self.code = regex.compile(r"\d{5}[ \t]")
+        self.code = regex.compile(r"\d{5}")
         self.address = [regex.compile(p) for p in ADDRESS]
         self.names = [(words, regex.compile(p)) for words, p in NAME_PLACES]
         self.on_call, self.then, self.next = (regex.compile(p) for p in (ON_CALL, _THEN, _NEXT))

@@ -202,6 +202,11 @@ def test_spans(text, want):
     assert [(k, text[a:b]) for a, b, k in got] == want
 
 
+def test_an_address_may_end_with_its_code():
+    for text in ("Am Alten Speicher 5, 12345.", "Parcel to Am Alten Speicher 5,\n12345"):
+        assert [(k, text[a:b]) for a, b, k in pii.Finder().spans(text)] == [("address", text[text.index("Am") :].rstrip("."))]
+
+
 def test_replacement_leaves_the_rest_and_links_equal_values(spark):
     data = [(i, t) for i, (t, _) in enumerate(SPANS)] + [(98, None), (99, ""), (100, SPANS[0][0])]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("spans_", F.lit("clash")).withColumn("s", F.lit(1))
