@@ -339,15 +339,19 @@ def unfeistel(value: list[int], radix: int, key: bytes, tweak: str = "", rounds:
 
 
 def permuted(value: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """A number moved within its format: ASCII digits among digits, capital letters among letters, all other signs kept."""
+    """A number moved within its format: decimal digits among digits, capital letters among letters, all other signs kept.
+
+    Digits of any script and letters of full width count by their value and come back in their own form, so that a
+    number moves alike however it is written.
+    """
     move = unfeistel if back else feistel
     out = list(value)
-    for radix, low, high in ((10, "0", "9"), (26, "A", "Z")):
-        at = [i for i, c in enumerate(value) if low <= c <= high]
-        if radix == 26:
-            at = [] if tweak == "phone" else at
-        for i, x in zip(at, move([ord(value[i]) - ord(low) for i in at], radix, key, tweak) if at else [], strict=True):
-            out[i] = chr(ord(low) + x)
+    places = [(10, [(i, ord(c) - unicodedata.decimal(c)) for i, c in enumerate(value) if c.isdecimal()])]
+    if tweak != "phone":
+        places.append((26, [(i, ord(a)) for i, c in enumerate(value) for a in ("A", "\uff21") if a <= c <= chr(ord(a) + 25)]))
+    for radix, at in places:
+        for (i, low), x in zip(at, move([ord(value[i]) - low for i, low in at], radix, key, tweak) if at else [], strict=True):
+            out[i] = chr(low + x)
     return "".join(out)
 
 

@@ -243,6 +243,18 @@ def test_feistel_is_one_to_one_and_keeps_the_format():
     assert pii.permuted(pii.permuted("QQ 12 70 01 C", b"k", "id_number"), b"k", "id_number", back=True) == "QQ 12 70 01 C"
 
 
+def test_numbers_in_other_digits_are_moved_and_linked():
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c != " " else c for c in s)
+    arabic = lambda s: "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in s)
+    for kind, number in (("phone", "0113 496 0775"), ("id_number", "QQ 12 70 01 C")):
+        moved = pii.permuted(number, b"k", kind)
+        assert moved != number
+        for form in (wide, arabic):
+            assert pii.permuted(form(number), b"k", kind) == form(moved)
+            assert pii.permuted(form(moved), b"k", kind, back=True) == form(number)
+            assert form(number) not in pii.placeholder(kind, form(number), b"k")
+
+
 def test_very_long_texts(spark):
     text = "x1 " * 30_000 + "mail a@b.example now. " + "A" * 50_000
     assert [k for *_, k in pii.Finder().spans(text)] == ["email"]
