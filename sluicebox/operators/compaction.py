@@ -3,8 +3,9 @@
 Files of newline-delimited records are joined at byte level: a body is cut at its line ends, carriage returns and blank
 lines are left out, the missing line end of a last line is supplied, and each complete line goes into its new file as
 the very bytes it was; no record is decoded and written anew. Only the key of a line is looked at, to keep one of the
-lines that left-over and repeated files hold twice. Lengths and checksums (sums over lines, so the order is free) of
-what goes in and what stands in the new files are compared before the new files count.
+lines that left-over and repeated files hold twice. Lengths and checksums (sums over lines, so the order is free) are
+compared before the new files count: all lines of the input must be those kept, surplus copies and those rejected, and
+the lines kept must be those of the new files. The writers' own n_rows and n_bytes are no measure: they are wrong in places.
 
 `join_frames` does the same for bodies that are complete zstandard frames: they are joined without being unpacked.
 
@@ -49,9 +50,9 @@ def _complete(keys: tuple[str, ...]) -> Column:
     return out
 
 
-def rejected(files: DataFrame, keys: tuple[str, ...] = ("session", "txid")) -> DataFrame:
+def rejected(files: DataFrame, keys: tuple[str, ...] = ("session", "txid"), body: str = "body") -> DataFrame:
     """The lines set aside."""
-    return keyed(lines_of(files), keys).where(~_complete(keys)).select("line")
+    return keyed(lines_of(files, body), keys).where(~_complete(keys)).select("line")
 
 
 @dataclass(frozen=True)
@@ -63,20 +64,34 @@ class Totals:
     checksum: str
 
 
+    def __add__(self, other: Totals) -> Totals:
+        return Totals(self.n_lines + other.n_lines, self.n_bytes + other.n_bytes, str(int(self.checksum) + int(other.checksum)))
+
+
+def _measures() -> tuple[Column, Column, Column]:
+    """Lines, bytes and checksum of a group of lines."""
+    return F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("b"), F.sum(F.xxhash64("line").cast("decimal(38,0)")).alias("c")
+
+
+def _sums(row) -> Totals:
+    return Totals(row.n or 0, row.b or 0, str(row.c or 0))
+
+
 def totals(lines: DataFrame) -> Totals:
-    row = lines.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length("line")), F.lit(0)).alias("b"),
-        F.coalesce(F.sum(F.xxhash64("line").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("c"),
-    ).first()
-    return Totals(row.n, row.b, row.c)
+    return _sums(lines.agg(*_measures()).first())
+
+
+def surplus(held: DataFrame) -> Totals:
+    """What the lines that unique_lines left out as further copies amount to."""
+    own = F.octet_length("line"), F.xxhash64("line").cast("decimal(38,0)")
+    return _sums(held.agg(F.sum(F.col("n") - 1).alias("n"), F.sum(F.col("b") - own[0]).alias("b"), F.sum(F.col("c") - own[1]).alias("c")).first())
 
 
 def unique_lines(files: DataFrame, keys: tuple[str, ...] = ("session", "txid"), body: str = "body") -> DataFrame:
-    """One line of each key, with its key and time."""
+    """One line of each key, with its key and time, and n, b, c: lines, bytes and checksum of all its copies."""
     rows = keyed(lines_of(files, body), keys).where(_complete(keys))
     pick = F.min(F.struct(F.isnull("received").alias("late"), "received", "line"))
-    return rows.groupBy(*keys).agg(pick.alias("m")).select(*keys, "m.received", "m.line")
+    return rows.groupBy(*keys).agg(pick.alias("m"), *_measures()).select(*keys, "m.received", "m.line", "n", "b", "c")
 
 
 def consolidate(spark: SparkSession, files: DataFrame, out_dir: str, keys: tuple[str, ...] = ("session", "txid"), target_bytes: int = TARGET_BYTES, body: str = "body") -> Totals:
@@ -84,7 +99,8 @@ def consolidate(spark: SparkSession, files: DataFrame, out_dir: str, keys: tuple
 
     The number of files follows the bytes that came in. A range shuffle orders the records, so files hold disjoint spans
     of time and a hot session or hour spreads over as many as it needs. out_dir/totals.json, written last and only if
-    lengths and checksums agree, marks the files as whole.
+    lengths and checksums agree, marks the files as whole; it holds the totals of the input, of the lines kept, of
+    surplus copies and of rejected lines.
     """
     size = files.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).alias("b")).first().b
     n = max(1, math.ceil(size / target_bytes))
@@ -97,7 +113,10 @@ def consolidate(spark: SparkSession, files: DataFrame, out_dir: str, keys: tuple
     before, after = totals(held), totals(consolidated_lines(spark, out_dir))
     if before != after:
         raise ValueError(f"consolidated files differ from what went in: {before} and {after}")
-    write_atomically(spark, f"{out_dir}/totals.json", json.dumps(asdict(after)))
+    given, copies, aside = totals(lines_of(files, body)), surplus(held), totals(rejected(files, keys, body))
+    if given != after + copies + aside:
+        raise ValueError(f"of the input {given}, {after} were kept, {copies} are surplus copies and {aside} rejected")
+    write_atomically(spark, f"{out_dir}/totals.json", json.dumps({"input": asdict(given), "kept": asdict(after), "surplus": asdict(copies), "rejected": asdict(aside)}))
     return after
 
 

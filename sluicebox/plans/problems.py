@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, n_records, n_bytes of the consolidated files."""
+    """session, n_records of the consolidated files."""
     lines = compaction.consolidated_lines(spark, _consolidated(spark, sf_dir))
     return compaction.keyed(lines).groupBy("session").agg(F.count("*").alias("n_records"))
 

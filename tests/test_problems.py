@@ -174,6 +174,18 @@ def test_consolidation_keeps_each_record_once(spark):
     assert compaction.rejected(files).count() == 4
 
 
+def test_consolidation_notices_lost_lines(spark, monkeypatch):
+    files = spark.createDataFrame([(line("a") + "\n" + line("a", sep=(", ", ": ")) + "\n" + line("b") + "\nno json",)], "body string")
+    out = scratch(spark, "files")
+    compaction.consolidate(spark, files, out)
+    found = json.loads(spark.read.text(f"{out}/totals.json").first()[0])
+    assert {k: v["n_lines"] for k, v in found.items()} == {"input": 4, "kept": 2, "surplus": 1, "rejected": 1}
+    whole = compaction.unique_lines
+    monkeypatch.setattr(compaction, "unique_lines", lambda *a: whole(*a).where("txid <> 'b'"))
+    with pytest.raises(ValueError):
+        compaction.consolidate(spark, files, scratch(spark, "files"))
+
+
 def test_consolidated_files_are_few_and_in_order(spark):
     files = spark.createDataFrame([(line(f"t{i}", received=f"2026-03-01T00:{i % 60:02}:00Z"),) for i in range(200)], "body string")
     out = scratch(spark, "files")
