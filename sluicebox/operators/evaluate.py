@@ -75,6 +75,21 @@ def nearest_rank(df: DataFrame, value: str, points: tuple[float, ...]) -> DataFr
     return at.where((F.col("below") <= F.col("k")) & (F.col("k") < F.col("below") + F.col("n"))).select("point", "value")
 
 
+def quantile_grids(df: DataFrame, names: tuple[str, ...], points: tuple[float, ...]) -> DataFrame:
+    """feature, point, value: as percentiles, of each named column, from counts of distinct values. Nulls don't count."""
+    parts = []
+    for name in names:
+        ranks = cumulative(value_counts(df, name), "value").select(F.lit(name).alias("feature"), F.col("value").cast("double"), "n", "below", "total")
+        parts.append(ranks.select("*", F.explode(F.array(*map(F.lit, points))).alias("point")))
+    k = F.col("point") * (F.col("total") - 1)
+    at = reduce(DataFrame.unionByName, parts).withColumns({"low": F.floor(k), "high": F.ceil(k), "share": k - F.floor(k)})
+    holds = lambda i: (F.col("below") <= F.col(i)) & (F.col(i) < F.col("below") + F.col("n"))
+    ends = at.where(holds("low") | holds("high")).groupBy("feature", "point").agg(
+        F.max(F.when(holds("low"), F.col("value"))).alias("a"), F.max(F.when(holds("high"), F.col("value"))).alias("b"), F.max("share").alias("share")
+    )
+    return ends.select("feature", "point", (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("value"))
+
+
 def tail_positions(rows: DataFrame, reference: DataFrame, key: str, features: tuple[str, ...], limit: int = 3) -> DataFrame:
     """key, feature, training_percentile, extremeness: the features of each row that lie furthest in a reference's tails.
 

@@ -468,6 +468,16 @@ def tail_percentiles_all(spark, sf_dir):
     return evaluate.tail_positions(test, t.where("split_name = 'train'"), "event_id", features.FEATURES)
 
 
+_GRIDS = " union all ".join(f"select '{f}' as feature, unnest([{_GRID}])::double as point, unnest(quantile_cont(cast({f} as double), [{_GRID}])) as value {_whole_in('train')}" for f in features.FEATURES)
+
+
+@query(f"select feature, point, round(value, 6) as value from ({_GRIDS})")
+def quantile_grids(spark, sf_dir):
+    """The reference grid of every model column over the training rows; quantile_grid has one column over all rows."""
+    train = _all_features(spark, sf_dir).where("split_name = 'train'")
+    return evaluate.quantile_grids(train, features.FEATURES, tuple(k / 100 for k in range(101))).withColumn("value", F.round("value", 6))
+
+
 @query(f"""with c as (select score from {_SCORES} join split_sessions using (session) where split_name = 'calibration' and score is not null), t as (select distinct score from {_SCORES} join split_sessions using (session) where split_name = 'test' and score is not null),
 m as (select score, 1 as w, 0 as q from c union all select score, 0, 1 from t), s as (select score, q, sum(w) over (order by score, q rows between unbounded preceding and current row) as u from m)
 select score, round(u / (select count(*) from c)::double, 9) as ecdf from s where q = 1""")

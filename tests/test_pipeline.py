@@ -288,6 +288,17 @@ def test_tails_are_taken_over_all_features(spark, sf):
         assert [(f, p) for _, f, p in sorted(got[row.event_id.strip().lower()])] == [(f, pytest.approx(p, abs=1.01e-4)) for _, f, p in sorted(want)[:3]]
 
 
+def test_grids_are_those_of_numpy(spark):
+    import numpy as np
+
+    data = [(float(i * i % 37), i % 5) for i in range(58)]
+    points = tuple(k / 100 for k in range(101))
+    got = {(r.feature, r.point): r.value for r in evaluate.quantile_grids(spark.createDataFrame([*data, (None, None)], "a double, b int"), ("a", "b"), points).collect()}
+    for i, name in enumerate("ab"):
+        assert [got[name, p] for p in points] == pytest.approx(list(np.quantile([r[i] for r in data], points)))
+    assert len(got) == 202
+
+
 # ---------------------------------------------------------------- models
 
 
