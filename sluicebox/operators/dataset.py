@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import json
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,23 +44,27 @@ def eligibility(summary: DataFrame, min_rows: int, source_mode: str = "ws") -> D
 def choose_cuts(counts: list[int], fractions: tuple[float, float, float] = FRACTIONS) -> tuple[int, int]:
     """(i, j): sessions before i train, before j calibrate, the rest test; shares closest to the fractions, ties earlier.
 
-    Two prefix sums give every share, so all pairs are compared in order with exact integers.
+    With the first cut given, the miss of the other two shares is a convex function of the rows before the second: it
+    falls up to the nearer of the two places that suit one share each, is level between them and rises behind. So the
+    best second cut is next to that place, and bisection over the prefix sums finds it. All of it is whole numbers.
     """
     n = len(counts)
     if n < 3:
         raise ValueError("three sessions at least are needed for three splits")
-    ends = [0]
-    for c in counts:
-        ends.append(ends[-1] + c)
+    ends = [0, *itertools.accumulate(counts)]
+    exact = [Fraction(str(f)) for f in fractions]
+    unit = math.lcm(*[f.denominator for f in exact])
     total = ends[-1]
-    cost = lambda i, j: sum(abs(a / total - f) for a, f in zip((ends[i], ends[j] - ends[i], total - ends[j]), fractions, strict=True))
-    best = (1, 2)
-    low = cost(*best)
+    train, calibrate, test = (int(f * unit) * total for f in exact)
+    best: tuple[int, int, int] | None = None
     for i in range(1, n - 1):
-        for j in range(i + 1, n):
-            if (c := cost(i, j)) < low - 1e-12:
-                best, low = (i, j), c
-    return best
+        suits = min(unit * ends[i] + calibrate, unit * total - test)
+        near = bisect.bisect_left(ends, suits, i + 1, n - 1, key=lambda rows: unit * rows)
+        for j in {near, max(i + 1, bisect.bisect_left(ends, ends[near - 1]))}:
+            sizes = unit * ends[i], unit * (ends[j] - ends[i]), unit * (total - ends[j])
+            miss = sum(abs(size - wish) for size, wish in zip(sizes, (train, calibrate, test), strict=True))
+            best = min(best or (miss, i, j), (miss, i, j))
+    return best[1], best[2]
 
 
 def manifest(transactions: DataFrame, min_rows: int = 1, fractions: tuple[float, float, float] = FRACTIONS) -> dict:

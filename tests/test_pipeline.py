@@ -320,6 +320,35 @@ def test_forest(spark):
         forest.fit(df.limit(5))
 
 
+def test_choose_cuts_against_all_pairs():
+    from fractions import Fraction
+
+    def brute(counts):
+        total, best = sum(counts), None
+        for i in range(1, len(counts) - 1):
+            for j in range(i + 1, len(counts)):
+                parts = sum(counts[:i]), sum(counts[i:j]), sum(counts[j:])
+                miss = sum(abs(p - Fraction(f) * total) for p, f in zip(parts, ("0.6", "0.2", "0.2")))
+                best = min(best or (miss, i, j), (miss, i, j))
+        return best[1:]
+
+    draw = random.Random(5)
+    for _ in range(300):
+        counts = [draw.choice((0, 1, 5, draw.randrange(200))) for _ in range(draw.randrange(3, 12))]
+        assert dataset.choose_cuts(counts) == brute(counts)
+
+
+def test_cases_are_consistent(spark):
+    made = sweep.cases(spark, seed=3, variants=4)
+    for r in made.select("family", "severity", F.to_json("entry").alias("e")).collect():
+        tx = json.loads(r.e)
+        ins, outs = [i["prevout"]["value"] for i in tx["vin"]], [o["value"] for o in tx["vout"]]
+        assert min(ins) > 0 and sum(ins) == sum(outs) + tx["fee"]
+        assert len(set(outs)) == len(outs) - (r.severity - 1 if r.family == "equal_outputs" else 0)
+        assert tx["weight"] == 4 * round(10.5 + 68 * len(ins) + 31 * len(outs))
+    assert rows(made.select("case_id", F.to_json("entry"))) == rows(sweep.cases(spark, seed=3, variants=4).select("case_id", F.to_json("entry")))
+
+
 def test_sweep(spark):
     screened = sweep.screened_cases(spark)
     assert screened.count() == 20 * 39 and screened.where("not rules_match_expected").isEmpty()
