@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR = "spark.checkpoint.dir"
@@ -76,7 +77,11 @@ def hadoop_path(spark: SparkSession, path: str):
 
 
 def write_atomically(spark: SparkSession, path: str, text: str) -> None:
-    """A small file that is either absent or whole: written beside its place, then renamed."""
+    """A small file that is either absent or whole: written beside its place, then moved there.
+
+    FileExistsError if the place is taken, also by another writer at that moment: a hard link on a local file system
+    and a rename without overwriting elsewhere both fail then. (Object stores without such a rename need one writer.)
+    """
     fs, target = hadoop_path(spark, path)
     _, draft = hadoop_path(spark, f"{os.path.dirname(path)}/.{os.path.basename(path)}.{uuid.uuid4().hex}")
     out = fs.create(draft, True)
@@ -84,9 +89,32 @@ def write_atomically(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if not fs.rename(draft, target):
+    try:
+        if fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+        else:
+            hadoop = spark._jvm.org.apache.hadoop.fs
+            no_options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, target, no_options)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            raise FileExistsError(path) from e
+        raise
+    finally:
         fs.delete(draft, False)
-        raise FileExistsError(path)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, hidden ones left out; none if there is no such folder."""
+    fs, p = hadoop_path(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in found if n[0] not in "._")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder or file gone, whether or not it was there."""
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, True)
 
 
 def read_small(spark: SparkSession, path: str) -> str:

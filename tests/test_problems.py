@@ -1,6 +1,7 @@
 """Problems 2 to 5 on small fixtures: nulls, ties, repetitions, empty tables, clashing names."""
 
 import json
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -147,6 +148,46 @@ def test_a_batch_without_a_manifest_leaves_the_store_as_it_was(spark, monkeypatc
     assert [r.ord.o3 for r in again.winners().collect()] == [4]
 
 
+def test_a_dead_merge_is_never_published(spark, monkeypatch):
+    store = redelivery.DeliveryStore(spark, scratch(spark, "t"), feed())
+    delivery = lambda i, day, offset: spark.createDataFrame([(i, f"2026-03-0{day}T00:00:00Z", 0, offset, None)], DELIVERY)
+    store.merge(delivery("a", 1, 1))
+    with monkeypatch.context() as m:
+        m.setattr(redelivery, "write_atomically", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.merge(delivery("ghost", 2, 2))
+    again = redelivery.DeliveryStore(spark, store.root, store.feed)
+    again.merge(delivery("b", 2, 3))
+    assert rows(again.winners().select("item_id")) == [("a",), ("b",)]
+    assert {g.split("/")[0] for g in again.vacuum(0)} == {"data", "index"} and rows(again.winners().select("item_id")) == [("a",), ("b",)]
+    assert again.vacuum(0) == []
+
+
+def test_of_two_writers_the_second_merges_again(spark):
+    root = scratch(spark, "t")
+    delivery = lambda i, offset: spark.createDataFrame([(i, "2026-03-01T00:00:00Z", 0, offset, None)], DELIVERY)
+    one, other = redelivery.DeliveryStore(spark, root, feed()), redelivery.DeliveryStore(spark, root, feed())
+    one.merge(delivery("a", 1))
+    with pytest.raises(FileExistsError):
+        other.merge(delivery("b", 2))
+    other = redelivery.DeliveryStore(spark, root, feed())
+    assert rows(other.winners().select("item_id")) == [("a",)]
+    other.merge(delivery("b", 2))
+    assert rows(redelivery.DeliveryStore(spark, root, feed()).winners().select("item_id")) == [("a",), ("b",)]
+
+
+def test_many_batches_equal_one(spark, monkeypatch):
+    monkeypatch.setattr(redelivery, "RUNS", 2)
+    draw = random.Random(3)
+    made = [(draw.choice("abcdefgh") * draw.randrange(1, 3), draw.choice([None, *(f"2026-03-0{d}T00:00:00Z" for d in range(1, 6))]), draw.randrange(3), i, None) for i in range(60)]
+    store, whole = (redelivery.DeliveryStore(spark, scratch(spark, "t"), feed()) for _ in range(2))
+    for i in range(0, 60, 10):
+        store.merge(spark.createDataFrame(made[i : i + 10], DELIVERY))
+    whole.merge(spark.createDataFrame(made, DELIVERY))
+    kept = lambda s: rows(s.winners().select("item_id", "ord.o3", "n_rows", "part"))
+    assert kept(store) == kept(whole) == kept(redelivery.DeliveryStore(spark, store.root, store.feed)) and len(store.runs) <= 2
+
+
 # ---------------------------------------------------------------- small files
 
 
