@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import clean_name, iso_instant
+from ..functions.ids import clean_id, clean_name, iso_instant
 from ..operators import changefeed, compaction, redelivery, table_diff
-from ..session import scratch, stored
+from ..session import scratch
 from ..sources import table
 
 DIFF_IDS = ("txid", "event_id")
@@ -95,25 +95,44 @@ def p4_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.limit(0) if kept is None else kept.select(clean_name(F.col("message_id")).alias("message_id"), "kafka_partition", "kafka_offset", "session_id")
 
 
+def _replayed(spark: SparkSession, sf_dir: str, kinds: changefeed.Kinds = changefeed.Kinds()) -> DataFrame:
+    """The changes up to a point in time make the base, the later ones (and those of no known time) are applied to it."""
+    events = table(spark, sf_dir, "lifecycle_events")
+    cut = events.agg(F.percentile_approx(F.unix_micros("event_time"), HISTORY_SHARE).alias("c")).first().c
+    early = F.coalesce(F.unix_micros("event_time") <= F.lit(cut), F.lit(False))
+    kept = changefeed.scratch_table(spark, kinds)
+    kept.apply(events.where(early))
+    kept.apply(events.where(~early))
+    return kept.rows()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_state(spark, sf_dir).select("txid", "event_id")
+    return _replayed(spark, sf_dir).select("txid", "event_id")
 
 
 def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current table: each txid that exists, with its last change."""
+    """The current table: each txid that exists, with its last change, composed in one go."""
     events = table(spark, sf_dir, "lifecycle_events")
     return changefeed.current_state(events)
 
 
+def p5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current table with fields set by inserts and updates: a null leaves a field as it is, an insert starts anew."""
+    rows = _replayed(spark, sf_dir, changefeed.Kinds(fields=("run_id", "replacement_txid")))
+    return rows.select("txid", "event_id", "run_id", clean_id(F.col("replacement_txid")).alias("replacement_txid"))
+
+
 def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current table from two batches, the second applied to what is kept of the first: rows of one event fall in both."""
+    """The current table from three batches cut without regard to time: rows of one event fall in several, so events move."""
     events = table(spark, sf_dir, "lifecycle_events")
-    later = F.pmod(F.xxhash64("event_id", "event_time", "event_type", "source_sequence"), F.lit(10)) == 0
-    kept = stored(changefeed.changes_kept(events.where(~later)), "changes")
-    return changefeed.current_state(events.where(later), kept)
+    batch = F.pmod(F.xxhash64("event_id", "event_time", "event_type", "source_sequence"), F.lit(3))
+    kept = changefeed.scratch_table(spark)
+    for i in range(3):
+        kept.apply(events.where(batch == i))
+    return kept.rows()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_summary, p4_found, p4_messages, p5_found, p5_state, p5_batches)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_summary, p4_found, p4_messages, p5_found, p5_state, p5_rows, p5_batches)}
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -180,3 +199,15 @@ union all select 'events', {_id("event_id")} as i, -1, cast(-1 as bigint) from l
     "p5_state": f"{_P5} select txid, event_id, event_type, timezone('UTC', event_time) as event_time, source_sequence from last where rn = 1 and event_type <> 'removed'",
 }
 ORACLE["p5_batches"] = ORACLE["p5_state"]
+
+_PLACE = "event_time, source_sequence nulls first, case kind when 'mined' then 4 when 'replaced' then 3 when 'removed' then 2 else 1 end, event_id desc"
+ORACLE["p5_rows"] = f"""
+with rows as (select {_id("txid")} as txid, {_id("event_id")} as event_id, {_id("event_type")} as kind, event_time, source_sequence, run_id, {_id("replacement_txid")} as repl,
+replacement_txid as raw, case {_id("event_type")} when 'mined' then 4 when 'replaced' then 3 when 'removed' then 2 when 'added' then 1 end as rank from lifecycle_events),
+once as (select * from (select *, row_number() over (partition by event_id order by event_time, source_sequence desc nulls last, rank desc, txid, run_id nulls first, raw nulls first) as n
+from rows where txid is not null and event_time is not null and rank is not null and event_id is not null) where n = 1),
+placed as (select *, row_number() over (partition by txid order by {_PLACE}) as at from once),
+resets as (select txid, max(at) as last, coalesce(max(at) filter (where kind in ('added', 'removed')), 0) as reset from placed group by txid)
+select txid, arg_max(event_id, at) as event_id, arg_max(run_id, at) filter (where run_id is not null and at >= reset and kind <> 'removed') as run_id,
+arg_max(repl, at) filter (where repl is not null and at >= reset and kind <> 'removed') as replacement_txid
+from placed join resets using (txid) group by txid having arg_max(kind, at) <> 'removed'"""

@@ -76,6 +76,62 @@ def test_batches_may_repeat_an_event_at_another_time(spark):
     assert state(spark, tie) == batched(spark, tie[:1], tie[1:]) == batched(spark, tie[1:], tie[:1]) == {"t": ("e2", "mined")}
 
 
+def replay(changes, kinds=changefeed.Kinds()):
+    """Change after change on a plain dictionary: what the operator must give."""
+    first = {}
+    for e, k, op, t, q, f in changes:
+        if k is None or t is None or op not in kinds.operations:
+            continue
+        form = (t, q is None, -(q or 0), -kinds.operations.index(op), k, f is not None, f or "")
+        if e not in first or form < first[e][0]:
+            first[e] = (form, (t, q is not None, q or 0, kinds.operations.index(op)), e, k, op, f)
+    table = {}
+    for *_, e, k, op, f in sorted(sorted(first.values(), key=lambda x: x[2], reverse=True), key=lambda x: x[1]):
+        row = table.get(k, (None, None, None))
+        if op in kinds.deletes:
+            table[k] = (e, op, None)
+        else:
+            table[k] = (e, op, f if f is not None or op in kinds.inserts else row[2])
+    return {k: v for k, v in table.items() if v[1] not in kinds.deletes}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_batching_is_a_replay(spark, seed, monkeypatch):
+    """Redeliveries at other times, ties, fields that come and go, own names of operations, one hot key."""
+    monkeypatch.setattr(changefeed, "RUNS", 2)
+    draw = random.Random(seed)
+    kinds = changefeed.Kinds(("new", "gone", "set", "fixed"), ("new",), ("gone",), ("patch",))
+    made = []
+    for _ in range(120):
+        key = draw.choice("aaaabcd")
+        made.append((f"e{draw.randrange(60)}", key, draw.choice(("new", "gone", "set", "set", "fixed", "other")), at(draw.randrange(12)), draw.choice((None, 1, 2)), draw.choice((None, "x", "y", "z"))))
+    schema = "event_id string, txid string, event_type string, event_time timestamp, source_sequence bigint, patch string"
+    kept = changefeed.ChangeTable(spark, scratch(spark, "t"), kinds, broadcast_ids=0 if seed == 0 else changefeed.BROADCAST_IDS)
+    cuts = [0, *sorted(draw.sample(range(1, 120), 3)), 120]
+    for a, b in zip(cuts, cuts[1:]):
+        kept.apply(spark.createDataFrame(made[a:b], schema))
+    got = {r.txid: (r.event_id, r.event_type, r.patch) for r in changefeed.ChangeTable(spark, kept.root, kinds).rows().collect()}
+    assert got == replay(made, kinds)
+
+
+def test_own_operations_without_a_table(spark):
+    df = spark.createDataFrame([("e", "k", "new", at(1), 1, "x"), ("f", "j", "new", at(1), 1, "x"), ("g", "j", "gone", at(2), 1, "x")], FEED)
+    assert rows(changefeed.current_state(df, operations=("new", "gone"), deletes=("gone",)).select("txid", "event_type")) == [("k", "new")]
+
+
+def test_a_dead_batch_of_changes_leaves_the_table(spark, monkeypatch):
+    kept = changefeed.ChangeTable(spark, scratch(spark, "t"))
+    assert kept.rows() is None
+    kept.apply(spark.createDataFrame([("e", "k", "added", at(1), 1, "x")], FEED))
+    with monkeypatch.context() as m:
+        m.setattr(changefeed, "write_atomically", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            kept.apply(spark.createDataFrame([("f", "ghost", "added", at(1), 1, "x")], FEED))
+    again = changefeed.ChangeTable(spark, kept.root)
+    again.apply(spark.createDataFrame([], FEED))
+    assert [r.txid for r in again.rows().collect()] == ["k"]
+
+
 # ---------------------------------------------------------------- differences
 
 COPY = "k string, s string, at timestamp, x double, n int, tags array<string>, l int"
