@@ -206,8 +206,8 @@ with rows as (select {_id("txid")} as txid, {_id("event_id")} as event_id, {_id(
 replacement_txid as raw, case {_id("event_type")} when 'mined' then 4 when 'replaced' then 3 when 'removed' then 2 when 'added' then 1 end as rank from lifecycle_events),
 once as (select * from (select *, row_number() over (partition by event_id order by event_time, source_sequence desc nulls last, rank desc, txid, run_id nulls first, raw nulls first) as n
 from rows where txid is not null and event_time is not null and rank is not null and event_id is not null) where n = 1),
-placed as (select *, row_number() over (partition by txid order by {_PLACE}) as at from once),
-resets as (select txid, max(at) as last, coalesce(max(at) filter (where kind in ('added', 'removed')), 0) as reset from placed group by txid)
-select txid, arg_max(event_id, at) as event_id, arg_max(run_id, at) filter (where run_id is not null and at >= reset and kind <> 'removed') as run_id,
-arg_max(repl, at) filter (where repl is not null and at >= reset and kind <> 'removed') as replacement_txid
-from placed join resets using (txid) group by txid having arg_max(kind, at) <> 'removed'"""
+placed as (select *, row_number() over (partition by txid order by {_PLACE}) as place from once),
+resets as (select txid, coalesce(max(place) filter (where kind in ('added', 'removed')), 0) as reset from placed group by txid)
+select txid, arg_max(event_id, place) as event_id, arg_max(run_id, place) filter (where run_id is not null and place >= reset and kind <> 'removed') as run_id,
+arg_max(repl, place) filter (where repl is not null and place >= reset and kind <> 'removed') as replacement_txid
+from placed join resets using (txid) group by txid having arg_max(kind, place) <> 'removed'"""
