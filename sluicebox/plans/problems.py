@@ -31,6 +31,19 @@ def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.keyed(lines).groupBy("session").agg(F.count("*").alias("n_records"))
 
 
+def p2_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files whose writer counted wrongly."""
+    return compaction.claims(table(spark, sf_dir, "lake_files"))
+
+
+def p2_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_frames, n_lines, n_text_bytes: the bodies as zstandard frames, joined as they are, written, and read back."""
+    bodies = compaction.compressed(table(spark, sf_dir, "lake_files").select("body"))
+    written = compaction.write_frames(bodies, scratch(spark, "frames"))
+    held = compaction.frame_totals(spark, written).agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum("n_text_bytes"), F.lit(0)).alias("n_text_bytes"))
+    return written.agg(F.coalesce(F.sum("n_frames"), F.lit(0)).alias("n_frames")).crossJoin(held)
+
+
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_diff.diff(table(spark, sf_dir, "transactions"), table(spark, sf_dir, "serving_transactions"), ["session", "txid"], DIFF_IDS, names=("transactions", "serving"))
 
@@ -132,7 +145,7 @@ def p5_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.rows()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p3_found, p3_summary, p4_found, p4_messages, p5_found, p5_state, p5_rows, p5_batches)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_sizes, p2_claims, p2_frames, p3_found, p3_summary, p4_found, p4_messages, p5_found, p5_state, p5_rows, p5_batches)}
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -190,6 +203,12 @@ row_number() over (partition by c.txid order by event_time desc, c.source_sequen
 ORACLE = {
     "p2_found": f"{_FILES} select session, txid from keys where session <> '' and txid <> ''",
     "p2_sizes": f"{_FILES} select session, count(*) as n_records from keys where session <> '' and txid <> '' group by session",
+    "p2_claims": r"""with lines as (select file_path, unnest(regexp_split_to_array(body, '\r\n|\n|\r')) as line from lake_files where body <> ''),
+held as (select file_path, count(*) filter (where trim(line, ' ' || chr(9)) <> '') as n from lines group by file_path),
+both_ as (select file_path, n_rows as claimed_rows, coalesce(n, 0) as held_rows, n_bytes as claimed_bytes, coalesce(strlen(body), 0) as held_bytes from lake_files left join held using (file_path))
+select * from both_ where claimed_rows is distinct from held_rows or claimed_bytes is distinct from held_bytes""",
+    "p2_frames": """select count(*) as n_frames, coalesce(sum(length(body) - length(replace(body, chr(10), '')) + (body[-1] <> chr(10))::int), 0)::bigint as n_lines,
+coalesce(sum(strlen(body) + (body[-1] <> chr(10))::int), 0)::bigint as n_text_bytes from lake_files where body <> ''""",
     "p3_found": f"{_P3} select session, txid, field_name from found",
     "p3_summary": f"{_P3} select field_name, count(*) as n_rows from found group by field_name",
     "p4_found": f"""with m as ({_P4_MESSAGES}) select 'messages' as feed, id as item_id, kafka_partition, kafka_offset from m where rn > 1

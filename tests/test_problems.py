@@ -308,3 +308,50 @@ def test_frames_are_joined_as_they_are(spark):
     assert sum(r.n_frames for r in joined) == 20 and 1 < len(joined) < 20
     with pytest.raises(Exception, match="cut off|no zstandard"):
         compaction.join_frames(spark.createDataFrame([(parts[0][:-1],)], "data binary")).collect()
+
+
+def test_bodies_are_joined_byte_for_byte(spark):
+    bodies = ["a\r\nb\n", "c", "\n\n", "", None, "ü\rx\n", " \n"]
+    files = spark.createDataFrame([(b,) for b in bodies], "body string").coalesce(1)
+    out = scratch(spark, "joined")
+    total = compaction.concatenate(spark, files, out)
+    fs = spark.sparkContext.wholeTextFiles(out).values().collect()
+    assert "".join(fs) == "a\r\nb\nc\n\n\nü\rx\n \n" and total.n_lines == 7
+
+
+@pytest.mark.parametrize("harm", [lambda x: x.replace("b", "B"), lambda x: x + "\n", lambda x: ""])
+def test_a_changed_byte_is_noticed(spark, monkeypatch, harm):
+    files = spark.createDataFrame([("a\nb\n",)], "body string")
+    read = compaction.joined_lines
+    monkeypatch.setattr(compaction, "joined_lines", lambda *a: read(*a).select(F.explode(F.split(F.udf(harm)("line"), "\n")).alias("line")))
+    with pytest.raises(ValueError, match="differ"):
+        compaction.concatenate(spark, files, scratch(spark, "joined"))
+
+
+def test_frames_are_written_under_names_of_their_own(spark):
+    files = spark.createDataFrame([(f"{i}\n" * 30 + "x",) for i in range(40)] + [(None,), ("",)], "body string").repartition(4)
+    out = scratch(spark, "frames")
+    written = compaction.write_frames(compaction.compressed(files), out, target_bytes=100)
+    listed = written.collect()
+    assert len({r.path for r in listed}) == len(listed) > 4 and sum(r.n_frames for r in listed) == 40
+    held = compaction.frame_totals(spark, written).agg(F.sum("n_lines"), F.sum("n_text_bytes")).first()
+    assert tuple(held) == (40 * 31, sum(len(f"{i}\n") * 30 + 2 for i in range(40)))
+    path = listed[0].path.removeprefix("file:").replace("//", "/")
+    data = bytearray(open(path, "rb").read())
+    data[-1] ^= 1
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="isn't the file|checksum|decompress"):
+        compaction.frame_totals(spark, written).collect()
+
+
+def test_joined_frames_have_numbers_of_their_own(spark):
+    import zstandard
+
+    parts = [(zstandard.ZstdCompressor().compress(b"x"),) for _ in range(8)]
+    got = compaction.join_frames(spark.createDataFrame(parts, "data binary").repartition(4), target_bytes=1).collect()
+    assert len({r.file_no for r in got}) == 8
+
+
+def test_claims_are_held_against_bodies(spark):
+    files = spark.createDataFrame([("a", 2, 4, "x\ny"), ("b", 2, 3, "x\ny"), ("c", 1, 3, "x\ny"), ("d", None, 0, None), ("e", 0, 0, "")], "file_path string, n_rows bigint, n_bytes bigint, body string")
+    assert rows(compaction.claims(files).select("file_path", "held_rows", "held_bytes")) == [("a", 2, 3), ("c", 2, 3), ("d", 0, 0)]
