@@ -1,15 +1,20 @@
 """Personal information inside free text: found, and replaced by typed placeholders (problem 8).
 
-Spans are found by rules on the text itself: number formats that are checked for their shape and their neighbourhood,
-address grammars of four languages, addresses of mail in signs or words, and names by the places where texts put them
-(signatures, salutations, form fields, verbs of saying). Each text is read whole, by one vectorised pass over its
-Arrow batch; nothing is shuffled.
-
-A validated number (phone or id number) is replaced by a keyed permutation within its own format: a Feistel network
-over its digits (and one over its letters) moves every number of a format to another of that format, one to one, so
-that equal values stay equal, and linked, across documents, and only the holder of the key can turn them back. Names,
-mail and street addresses get a keyed tag, equal for equal values (whatever their case and spacing). The rest of the
-text stays as it is, sign by sign.
+Mail addresses (in signs or words), phone numbers, id numbers and street addresses are found by grammars of their forms
+in several languages, names by a token classifier (`names`), which is fitted on a bounded sample of the corpus and on
+labelled sentences of its own (`fit`). Each text is read whole, by one vectorised pass over its Arrow batch; nothing is
+shuffled.
+
+A number is replaced by a keyed permutation within its own format: a Feistel network moves it one to one to another
+number of that format, so that equal values stay equal, and linked, across documents, and only the holder of the key can
+turn them back (`permuted(..., back=True)`). What makes a number valid stays so: check digits and letters that hold are
+computed anew (Spanish identity numbers, French social security numbers, German tax numbers), numbers that keep the rules
+of their kind (areas of US social security and phone numbers, prefixes of British insurance numbers) are moved among
+those that do, and others among the others, by walking the permutation until it comes back to the same class. Of a phone
+number its national digits are moved: country code, trunk zero and extension stay, so that a number is linked however it
+is written. Dates of birth are moved among the days of two centuries where `dates` asks for it; they are no kind of
+their own otherwise. Names, mail and street addresses get a keyed tag of 128 bits, equal for equal values (whatever
+their case and spacing). The rest of the text stays as it is, sign by sign.
 
 Defined results: null texts stay null and have no spans, empty ones stay empty; offsets count code points from 0, end
 exclusive; spans don't overlap; of repeated rows each is treated alike; other columns travel along unchanged.
@@ -17,17 +22,19 @@ exclusive; spans don't overlap; of repeated rows each is treated alike; other co
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import names
+
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: The key of the pseudonyms; production runs pass their own.
-KEY = "sluicebox"
 
 # ---------------------------------------------------------------- one-to-one normal form (offsets stay)
 
@@ -56,7 +63,7 @@ def composed(text: str) -> tuple[str, list[int] | None]:
 
 # ---------------------------------------------------------------- pieces of the grammars
 
-S = r"[ \t]{1,3}"
+S = r"[ \t]+"
 #: A break between the lines of an address.
 BR = r"(?:[ \t]*,?[ \t]*\n[ \t>]*|,[ \t]{0,3})"
 
@@ -75,7 +82,7 @@ EMAIL = (
 )
 
 #: Words that make the number after them a ticket, run or shipment, not a person's.
-_TICKET = r"(?<!\b(?i:batch|lot|run|shard|job|ticket|case|order|build|host|offset|lag)[ \t]{1,3})(?<!#)(?<!\b(?i:QT)-)"
+_TICKET = r"(?<!\b(?i:batch|lot|run|shard|job|ticket|case|order|build|host|offset|lag)[ \t]{1,3})(?<!#)"
 _EXT = r"(?:[ \t]{0,3}[,;]?[ \t]{0,3}(?:ext(?:ension)?\.?|x|poste|durchwahl|dw\.?)[ \t]{0,3}\d{1,6})?"
 _BEFORE = r"(?=[+(\d])(?<![\p{L}\p{N}_#@+/-])(?<!\d[.,: ])" + _TICKET
 _AFTER = r"(?![\p{L}\p{N}_@]|[.,:/-]\d)"
@@ -87,10 +94,13 @@ PHONE = (
     rf"{_BEFORE}0\d{{1,4}}[ \t]{{0,2}}/[ \t]{{0,2}}\d{{3,8}}(?:-\d{{1,5}})?{_EXT}{_AFTER}",
     rf"{_BEFORE}0[1-9](?:[. \t-]{{1,3}}\d{{2}}){{4}}{_EXT}{_AFTER}",
     rf"{_BEFORE}\(?0\d{{2,4}}\)?[ \t]{{1,3}}\d{{3,4}}[ \t]{{1,3}}\d{{4}}{_EXT}{_AFTER}",
+    rf"{_BEFORE}0\d{{1,3}}-\d{{2,4}}-\d{{4}}{_EXT}{_AFTER}",
 )
+#: Digits without any sign are a phone number behind a word that says so only.
+PHONE_LABELLED = rf"(?i:(?<![\p{{L}}])(?:tel(?:ephone|efon|éfono)?|phone|mobile|cell|fax|fon|handy|móvil|tél(?:éphone)?|call(?:[ \t]+(?:me|us|him|her|them))?|ring|reach[ \t]+(?:me|us)|llam[ae]r?|appele[rz]|anrufen|電話)\.?(?:[ \t]+(?:at|on|under|unter|au|al|number|nummer|is|ist|me|us|no\.?)){{0,3}}[ \t]*[:=]?[ \t]*)(?P<phone>\+?\d{{7,15}}){_AFTER}"
 
 _LABELLED = (
-    r"(?:\b(?:id|ids?[ \t]+(?:card|number|no\.?)|user_id|social[ \t]+security[ \t]+number|ssn|tax[ \t]+(?:form[ \t]+lists|id|number)|passport|national[ \t]+(?:id|insurance)(?:[ \t]+number)?"
+    r"(?:\b(?:id|ids?[ \t]+(?:card|number|no\.?)|user_id|social[ \t]+security[ \t]+number|ssn|tax[ \t]+(?:id|number|form)(?:[ \t]+\p{Ll}+)?|passport|national[ \t]+(?:id|insurance)(?:[ \t]+number)?"
     r"|steuernummer|steuer-?id|ausweis|personalausweis|reisepass|sozialversicherungsnummer|dni|nie|nif|documento|pasaporte|n[uú]mero[ \t]+de[ \t]+identidad|passeport|s[eé]curit[eé][ \t]+sociale|pi[eè]ce[ \t]+d'identit[eé])"
     r"(?:[ \t]+(?:is|ist|es|est|number|no\.?|nr\.?|n[º°]))?[ \t]*[:=(#]?[ \t]{0,3})"
 )
@@ -110,14 +120,9 @@ ID_LABELLED = rf"(?i:{_LABELLED})(?P<id>(?:\d{{3}}{S}\d{{2}}{S}\d{{4}}|\d{{2}}{S
 # ---------------------------------------------------------------- addresses
 
 _CAP = r"\p{Lu}[\p{L}\p{M}'-]+"
-#: Town names taken for such even without a post code behind them. Fixed values; pass others for other corpora.
-TOWNS = ("East Marlow Bay", "Port Carrow", "Dunmere", "Norhaven", "Stonebeck", "Wyreford", "Ellmouth", "Pont-d'Airelle", "Saint-Orbin", "Courtelles", "Valmer", "Puerto Salmo", "Villanoria", "Tresríos", "Aldaba", "Niederkirch an der Lohe", "Altenquell", "Oberfelden", "Brunstadt")
-_TOWN_LIST = "(?i:" + "|".join(t.replace(" ", r"[ \t]{1,3}") for t in TOWNS) + ")"
 _ANY_TOWN = rf"{_CAP}(?:{S}(?:(?:an|am|im|de|del|la|der|sur|en|ob|bei)(?:{S}(?:der|la|los))?{S})?{_CAP}){{0,2}}"
 _STOP = r"(?=[ \t]*(?:[.,;:!?)\n|/]|$))"
 _CODE = r"(?:\d{5}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]?[ \t]{0,3}\d[A-Z]{2})(?![\p{L}\p{N}])"
-_TOWN_TAIL = rf"(?:{BR}(?:(?:{_TOWN_LIST}|{_ANY_TOWN}),?{S}{_CODE}|{_TOWN_LIST}(?![\p{{L}}\p{{M}}])|{_ANY_TOWN}{_STOP}|{_CAP}(?={S}\p{{Ll}})))"
-_CODE_TOWN_TAIL = rf"(?:{BR}\d{{5}}(?:{S}(?:{_TOWN_LIST}|{_ANY_TOWN}{_STOP}|{_CAP}))?)"
 _UNIT = rf"(?:(?:{BR}|{S})(?:(?i:apt|apartment|unit|suite|ste|flat|room)\.?{S}#?[\p{{L}}\p{{N}}-]{{1,5}}|\d{{1,3}}(?i:st|nd|rd|th){S}(?i:floor)|\#[ \t]?\d{{1,5}}[A-Z]?))"
 _EN_TYPE = r"(?i:street|st|road|rd|avenue|ave|lane|ln|court|ct|boulevard|blvd|terrace|terr?|close|cl|drive|dr|way|place|pl|square|sq|row|crescent|cres|gardens|gdns|mews|walk|hill|parade|highway|hwy)"
 _NO_ROAD = r"(?!(?i:of|the|and|or|in|on|at|for|to|by|from|main|park)(?![\p{L}]))"
@@ -127,125 +132,57 @@ _LINK = r"(?:(?:d[ue]s?|de[ \t]+las?|de[ \t]+los|del|la|las|los|le|l'|d'|de[ \t]
 _SUFFIX = r"(?i:weg|straße|strasse|str\.|gasse|allee|platz|ring|ufer|damm|steig|markt|hof|graben)"
 _NO = r"\d{1,4}(?:[ \t]?[a-zA-Z](?![\p{L}\p{N}]))?"
 _AB = r"(?<![\p{L}\p{N}_#@+./:-])"
-ADDRESS = (
-    rf"{_AB}\d{{1,5}}[A-Z]?{S}(?:{_NO_ROAD}{_CAP}{S}){{1,3}}{_EN_TYPE}(?![\p{{L}}\p{{M}}])(?:\.(?=[ \t]*(?:[,#\n.]|{S}\p{{Ll}}|{S}\#|$|{S}\p{{Lu}})))?{_UNIT}?{_TOWN_TAIL}?",
-    rf"{_AB}(?i:p\.?[ \t]?o\.?[ \t]?box|postfach|apartado(?:[ \t]+de[ \t]+correos)?|apdo\.|b\.?p\.?|boîte[ \t]+postale){S}\d{{1,6}}(?:{_TOWN_TAIL}|{_CODE_TOWN_TAIL})?",
-    rf"{_AB}\d{{1,4}}(?:{S}(?i:bis|ter|quater))?,?{S}{_FR_TYPE}{S}(?:{_LINK}{{0,2}}{_CAP}[ \t]{{0,3}}){{1,3}}(?<=[\p{{L}}\p{{M}}]){_CODE_TOWN_TAIL}?",
-    rf"(?<![\p{{L}}\p{{N}}_]){_ES_TYPE}[ \t]{{0,3}}(?:{_LINK}{{0,2}}{_CAP}[ \t]{{1,3}}){{1,4}}(?:n\.?[º°][ \t]?)?\d{{1,4}}(?:,{S}(?i:bajo|\d{{1,2}}\.?[ºª°](?:{S}(?:[A-Z](?![\p{{L}}])|izq\.?|dcha\.?|der\.?|centro))?))?{_CODE_TOWN_TAIL}?",
-    rf"(?<![\p{{L}}\p{{N}}_-])(?:(?:{_CAP}{S}){{1,2}}{_SUFFIX}|(?:{_CAP}{S}){{0,2}}\p{{Lu}}[\p{{L}}\p{{M}}-]*{_SUFFIX}){S}{_NO}{_CODE_TOWN_TAIL}?",
-    rf"(?<![\p{{L}}\p{{N}}_-])(?:(?i:am|zum|zur|im|in{S}der|an{S}der|auf{S}dem|unter{S}den){S}(?:{_CAP}{S}){{1,2}}|{_CAP}{S}){_NO}{_CODE_TOWN_TAIL}",
-)
+def addresses(towns: tuple[str, ...] = ()) -> list[str]:
+    """The grammars of street addresses. towns: those that are known for such even where nothing else tells it."""
+    known = "(?i:" + "|".join(_spaced(t) for t in sorted(towns, key=len, reverse=True)) + ")" if towns else r"(?!)"
+    town_tail = rf"(?:{BR}(?:(?:{known}|{_ANY_TOWN}),?{S}{_CODE}|{known}(?![\p{{L}}\p{{M}}])|{_ANY_TOWN}{_STOP}|{_CAP}(?={S}\p{{Ll}})))"
+    code_town_tail = rf"(?:{BR}\d{{5}}(?:{S}(?:{known}|{_ANY_TOWN}{_STOP}|{_CAP}))?)"
+    return [
+        rf"{_AB}\d{{1,5}}[A-Z]?{S}(?:{_NO_ROAD}{_CAP}{S}){{1,3}}{_EN_TYPE}(?![\p{{L}}\p{{M}}])(?:\.(?=[ \t]*(?:[,#\n.]|{S}\p{{Ll}}|{S}\#|$|{S}\p{{Lu}})))?{_UNIT}?{town_tail}?",
+        rf"{_AB}(?i:p\.?[ \t]?o\.?[ \t]?box|postfach|apartado(?:[ \t]+de[ \t]+correos)?|apdo\.|b\.?p\.?|boîte[ \t]+postale){S}\d{{1,6}}(?:{town_tail}|{code_town_tail})?",
+        rf"{_AB}\d{{1,4}}(?:{S}(?i:bis|ter|quater))?,?{S}{_FR_TYPE}{S}(?:{_LINK}{{0,2}}{_CAP}[ \t]{{0,3}}){{1,3}}(?<=[\p{{L}}\p{{M}}]){code_town_tail}?",
+        rf"(?<![\p{{L}}\p{{N}}_]){_ES_TYPE}[ \t]{{0,3}}(?:{_LINK}{{0,2}}{_CAP}[ \t]{{1,3}}){{1,4}}(?:n\.?[º°][ \t]?)?\d{{1,4}}(?:,{S}(?i:bajo|\d{{1,2}}\.?[ºª°](?:{S}(?:[A-Z](?![\p{{L}}])|izq\.?|dcha\.?|der\.?|centro))?))?{code_town_tail}?",
+        rf"(?<![\p{{L}}\p{{N}}_-])(?:(?:{_CAP}{S}){{1,2}}{_SUFFIX}|(?:{_CAP}{S}){{0,2}}\p{{Lu}}[\p{{L}}\p{{M}}-]*{_SUFFIX}){S}{_NO}{code_town_tail}?",
+        rf"(?<![\p{{L}}\p{{N}}_-])(?:(?i:am|zum|zur|im|in{S}der|an{S}der|auf{S}dem|unter{S}den){S}(?:{_CAP}{S}){{1,2}}|{_CAP}{S}){_NO}{code_town_tail}",
+    ]
 
-# ---------------------------------------------------------------- names
-
-_PART = r"(?:(?i:von|van|de[ \t]+la|de|del|der|van[ \t]+der|zu|di|da|dos|du)[ \t]{1,3}|[dDoOlL]')"
-_G = r"\p{L}[\p{L}\p{M}]+(?:-\p{L}[\p{L}\p{M}]+)?"
-_F = rf"{_PART}?\p{{L}}[\p{{L}}\p{{M}}]+(?:-{_PART}?\p{{L}}[\p{{L}}\p{{M}}]+)?"
-_I = r"\p{L}\."
-#: A name in any case, for places that bound it on both sides.
-N = rf"(?:{_F},{S}{_G}(?:{S}{_I}){{0,2}}|(?:{_I}(?:[ \t]{{0,3}}{_I})*|{_G}(?:{S}{_I}){{0,2}}){S}{_F}|{_F})"
-_CG = r"\p{Lu}[\p{L}\p{M}]+(?:-\p{Lu}[\p{L}\p{M}]+)?"
-_CF = rf"{_PART}?\p{{Lu}}[\p{{L}}\p{{M}}]+(?:-{_PART}?\p{{Lu}}[\p{{L}}\p{{M}}]+)?"
-#: A name in capitals, for places open to one side.
-C = rf"(?:{_CF},{S}{_CG}(?:{S}{_I}){{0,2}}|(?:\p{{Lu}}\.(?:[ \t]{{0,3}}\p{{Lu}}\.)*|{_CG}(?:{S}\p{{Lu}}\.){{0,2}}){S}{_CF}|{_CF})"
-_TITLE = r"(?:(?i:dr|prof|mr|mrs|ms|herrn?|frau|mme|mlle|monsieur|madame|sra?|don|doña)\.?[ \t]{1,3}|M\.[ \t]{1,3})"
-_HEAD = r"(?:^|(?<=[\n.!?…:;\"(>\])|]))[ \t]*"
-_END = r"(?=[ \t]*(?:[.,;:!?…\n<(/|\"]|$))"
-
-#: What a name does that stands before it; the name starts a sentence, or is in capitals. A blank stands for any short white space.
-DOES = "|".join(
-    what.replace(" ", S)
-    for what in (
-        " signed off at ",
-        " took over at ",
-        "'s laptop ",
-        " (?:said|says|thinks|believes|claims|found|reported|wrote|noticed) (?:the|that|an?|one|every|our) ",
-        " handed the pager on ",
-        " asked why ",
-        " a pris la relève",
-        " (?:affirme|pense|croit|dit) que ",
-        " tomó el turno",
-        " (?:cree|dice|afirma|piensa) que ",
-        " meint[:,]",
-        r" hat an [^\n]{3,90}? geschrieben",
-        " disagreed",
-        " drove there",
-    )
-)
-DOES_WORDS = ("signed", "took", "laptop", "said", "says", "thinks", "believes", "claims", "found", "reported", "wrote", "noticed", "handed", "asked", "pris", "affirme", "pense", "croit", "dit", "turno", "cree", "dice", "afirma", "piensa", "meint", "geschrieben", "disagreed", "drove")
-_DOER = rf"(?:{_HEAD}{_TITLE}?(?P<n>{N})|(?:{_TITLE})?(?<![\p{{L}}\p{{N}}_'-])(?P<n>{C}))$"
-#: The same for two names.
-DO = f"{S}(?:think|believe|said|found|reported)(?={S})"
-DO_WORDS = ("think", "believe", "said", "found", "reported")
-_DOERS = rf"(?:{_HEAD}(?P<n>{N}){S}(?i:and){S}(?P<m>{N})|(?<![\p{{L}}\p{{N}}_'-])(?P<n>{C}){S}(?i:and){S}(?P<m>{C}))$"
-#: Signs looked at before such a verb.
-_REACH = 120
-
-#: Where names stand between two fixed ends: {N} any case, {C} capitals only. Before each, words of which the place has one:
-#: a text with none of them is not searched for it.
-NAME_PLACES = (
-    (("visitor",), rf"(?i:visitor){S}{_TITLE}?(?P<n>{N}),{S}(?i:host){S}{_TITLE}?(?P<m>{N}){_END}"),
-    (("between",), rf"(?i:agreed{S}between){S}{_TITLE}?(?P<n>{N}){S}(?i:and){S}{_TITLE}?(?P<m>{N})(?={S}(?i:that))"),
-    (("account",), rf"(?i:account{S}of){S}{_TITLE}?(?P<n>{N})(?=,{S}(?i:id){S})"),
-    (("went",), rf"(?i:sat{S}went{S}to){S}{_TITLE}?(?P<n>{N})(?=,{S}(?:\d|(?i:p\.?o\.?{S}box)))"),
-    (("signed",), rf"(?i:signed):{S}{_TITLE}?(?P<n>{N})(?=,{S}(?:\d|(?i:p\.?o\.?{S}box)))"),
-    (("badge",), rf"(?i:badge{S}for){S}{_TITLE}?(?P<n>{N})(?={S}(?i:was{S}issued))"),
-    (("ask", "pregunt", "demander",), rf"(?i:ask{S}for|pregunte{S}por|(?:et|y){S}(?:de{S})?(?:demander|preguntar{S}por)){S}{_TITLE}?(?P<n>{N})(?={S}(?i:before|antes|avant))"),
-    (("fragen", "verlangen",), rf"(?i:und{S}nach){S}{_TITLE}?(?P<n>{N})(?={S}(?i:fragen|verlangen))"),
-    (("about",), rf"(?i:spoke{S}with|talked{S}(?:to|with)|heard{S}from|waiting{S}for|met{S}with){S}{_TITLE}?(?P<n>{N})(?={S}(?i:about))"),
-    (("wrote",), rf",\"{S}(?i:wrote){S}{_TITLE}?(?P<n>{N})(?={S}(?i:in{S}the{S}log))"),
-    (("<",), rf"(?:^|(?<=[\n.!?:> ]))(?i:to|cc|from|bcc|an|de|para):?{S}(?P<n>{N})(?={S}<[^\s<>]{{0,80}}(?:@|[ \t]*[\(\[ ][ \t]*(?i:at)))"),
-    (('"who"', '"name"', '"user"', '"author"',), rf"\"(?i:who|name|user|author)\":[ \t]?\"(?P<n>{N})(?=\")"),
-    (("name:",), rf"(?:^|\n)[ \t>]*(?i:name):[ \t]{{1,6}}(?P<n>{N})(?=[ \t]*(?:\n|$))"),
-    (("/",), rf"(?:^|(?<=[\n ]))\d{{1,2}}\)[ \t]{{1,4}}(?P<n>{N})(?=[ \t]{{1,3}}/[ \t])"),
-    ((";",), rf"(?:^|(?<=\n))[ \t]*(?P<n>{N})(?=;[ \t]?(?:\+|\(|0)?\d)"),
-    (("asked", "pris", "tomó", "called", "wrote",), rf"(?:^|(?<=[\n :.])){_TITLE}(?P<n>{N})(?={S}(?i:asked|a{S}pris|tomó|called|wrote))"),
-    (("übergabe",), rf"(?i:übergabe{S}an){S}{_TITLE}(?P<n>{N})(?=,{S}(?i:erreichbar))"),
-    (("thx", "thank", "merci", "gracias", "danke",), rf"(?i:(?:thx|thanks|thank{S}you|merci|gracias|danke)){S}(?P<n>{N})(?=,{S}\p{{L}})"),
-    (("según", "d'après", "laut", "according", "selon",), rf"(?:^|(?<=[\n.!?…:;,\"( ]))(?i:según|d'après|laut|according{S}to|selon){S}{_TITLE}?(?P<n>{N})(?=[,:])"),
-    (("mark", "händen", "attention", "atención", "c/o", "attn",), rf"(?i:mark{S}it{S}for|zu{S}händen(?:{S}von)?|à{S}l'attention{S}de|a{S}la{S}atención{S}de|c/o|attn\.?:?){S}{_TITLE}?(?P<n>{N}){_END}"),
-    (("mark", "händen", "attention", "atención",), rf"(?i:mark{S}it{S}for|zu{S}händen(?:{S}von)?|à{S}l'attention{S}de|a{S}la{S}atención{S}de){S}{_TITLE}?(?P<n>{C})"),
-    (("présenté", "mostrado",), rf"(?i:présentée?{S}à{S}l'accueil{S}par|mostrado{S}en{S}recepción{S}por){S}{_TITLE}?(?P<n>{N}){_END}"),
-    (("steuernummer", "dni", "documento", "sécurité", "ausweis", "security",), rf"(?i:steuernummer|dni|documento|sécurité{S}sociale|ausweis|social{S}security{S}number){S}(?:[\dA-Z]{{1,10}}[ \t-]{{1,3}}){{1,8}}(?i:von|de){S}(?P<n>{N}){_END}"),
-    (("steuernummer", "dni", "documento", "sécurité",), rf"(?i:steuernummer|dni|documento|sécurité{S}sociale){S}(?:[\dA-Z]{{1,10}}[ \t-]{{1,3}}){{1,8}}(?i:von|de){S}(?P<n>{C})"),
-    (("--",), rf"(?:(?<=\d)|(?<=\d ))[ \t]*--[ \t]{{1,3}}(?P<n>{_G}){_END}"),
-    (("--",), rf"(?:(?<=\d)|(?<=\d ))[ \t]*--[ \t]{{1,3}}(?P<n>{_CG})"),
-    (("--",), rf"(?:^|\n)--[ \t]*\n(?P<n>{N})(?=[ \t]*(?:\n|$))"),
-    (("best", "regards", "cheers", "thanks", "sincerely", "yours", "cordialement", "bien", "journée", "amicalement", "saludo", "atentamente", "grüße", "gruß", "lg", "mfg",), rf"(?:^|\n)[ \t]*(?i:best|regards|(?:kind|best|warm){S}regards|cheers|thanks|sincerely|yours|cordialement|bien{S}à{S}vous|bonne{S}journée|amicalement|(?:un{S})?(?:cordial{S})?saludos?|atentamente|viele{S}grüße|mit{S}freundlichen{S}grüßen|beste{S}grüße|gruß|lg|mfg),?[ \t]*\n[ \t]*(?P<n>{N})(?=[ \t]*(?:\n|$|[.!?]))"),
-)
-#: "On-call from <time>: A, then B, then C."
-ON_CALL = rf"(?i:on-call{S}from){S}[\d:T.Z/-]{{4,25}}:{S}"
-_THEN = rf"(?P<n>{N})(?=,{S}(?i:then){S}|[ \t]*[.!?…\n]|[ \t]*$)"
-_NEXT = rf",{S}(?i:then){S}"
-
-#: Words that are never a name by themselves, though they begin with a capital. Fixed values.
-NOT_NAMES = frozenset(
-    "the a an of and or to it this that these those he she they we you i who which there here then when where what why how somebody nobody everyone everybody someone all both one two second every another"
-    " der die das ein eine es sie wir ich zwei el la los las un una nadie alguien le les une il elle nous vous on deux"
-    " kafka grafana athena isolation forest quality gate collector broker dashboard loader writer worker replica queue panel relay harbour view monday tuesday wednesday thursday friday saturday sunday"
-    " january february march april may june july august september october november december will-call grant-harbor".split()
-)
-#: Of these, the ones that a name never begins with, either.
-ALONE_NEVER = NOT_NAMES - {"will", "may", "june", "august", "march", "april", "grace", "mark", "grant", "harbour", "der", "de", "el", "la", "le", "les", "las", "los"}
-_THINGS = r"(?i)\b(?:replica|broker|dashboard|loader|writer|worker|queue|panel|gate|forest|collector|harbor|relay|session|capture|batch|copy|template|threshold|chart|band|window|reference|rule)\b"
+
+def _spaced(town: str) -> str:
+    import regex
+
+    return r"[ \t]+".join(regex.escape(w) for w in town.split())
+
+
+#: A town beside a post code, as it ends an address.
+_TOWN_OF = (rf"{BR}(?P<t>{_ANY_TOWN}),?{S}{_CODE}$", rf"{BR}\d{{5}}{S}(?P<t>{_ANY_TOWN})$")
+#: Towns that a model knows, at most.
+TOWNS = 2000
+
+
+# ---------------------------------------------------------------- finding
+
+#: A day of birth, where `dates` asks for it.
+DATE = r"(?i:(?:born(?:[ \t]+on)?|date[ \t]+of[ \t]+birth|dob|birth[ \t]*day|geboren(?:[ \t]+am)?|geb\.(?:[ \t]+am)?|geburtsdatum|née?[ \t]+le|date[ \t]+de[ \t]+naissance|nacid[oa][ \t]+el|fecha[ \t]+de[ \t]+nacimiento)[ \t]*[:=]?[ \t]*)(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}([./-])\d{1,2}\2\d{4})(?!\d)"
 
 
 class Finder:
-    """Compiled rules. One per Python worker; `spans` gives (start, end, kind) of a text, ordered, without overlaps."""
+    """Compiled rules and a model of names. One per Python worker; `spans` gives (start, end, kind) of a text, ordered,
+    without overlaps."""
 
-    def __init__(self):
+    def __init__(self, model: names.Model | None = None, dates: bool = False):
         import regex
 
+        self.model = model or names.base_model()
         self.email = [regex.compile(p, regex.I) for p in EMAIL]
         self.phone = [regex.compile(p, regex.I) for p in PHONE]
+        self.phone_labelled = regex.compile(PHONE_LABELLED)
         self.ids = [regex.compile(p) for p in ID_NUMBER]
         self.labelled = regex.compile(ID_LABELLED)
+        self.digit = regex.compile(r"\d")
         self.code = regex.compile(r"\d{5}")
-        self.address = [regex.compile(p) for p in ADDRESS]
-        self.names = [(words, regex.compile(p)) for words, p in NAME_PLACES]
-        self.on_call, self.then, self.next = (regex.compile(p) for p in (ON_CALL, _THEN, _NEXT))
-        self.things = regex.compile(_THINGS)
-        self.behind = [(words, regex.compile(a, regex.I), regex.compile(b)) for words, a, b in ((DOES_WORDS, DOES, _DOER), (DO_WORDS, DO, _DOERS))]
+        self.address = [regex.compile(p) for p in addresses(self.model.towns)]
+        self.date = regex.compile(DATE) if dates else None
+        self.names = names.NameFinder(self.model)
         self.spelt = [regex.compile(_AT_SIGNED, regex.I), regex.compile(_DOT_WORD, regex.I)]
 
     def _candidates(self, t: str) -> Iterator[tuple[int, int, str]]:
@@ -253,31 +190,22 @@ class Finder:
         for p, sign in zip(self.email, (None, *self.spelt), strict=True):
             if "@" in t if sign is None else sign.search(t):
                 yield from ((*m.span(), "email") for m in p.finditer(t))
-        for p in self.ids:
-            yield from ((*m.span(), "id_number") for m in p.finditer(t))
-        yield from ((*m.span("id"), "id_number") for m in self.labelled.finditer(t))
-        for p in self.phone:
-            yield from ((*m.span(), "phone") for m in p.finditer(t) if 9 <= sum(c.isdigit() for c in m[0]) <= 20)
+        if self.digit.search(t):
+            if self.date:
+                yield from ((*m.span("date"), "date") for m in self.date.finditer(t) if _day(m["date"]) is not None)
+            for p in self.ids:
+                yield from ((*m.span(), "id_number") for m in p.finditer(t))
+            yield from ((*m.span("id"), "id_number") for m in self.labelled.finditer(t))
+            for p in self.phone:
+                yield from ((*m.span(), "phone") for m in p.finditer(t) if sum(c.isdigit() for c in m[0]) >= 9)
+            yield from ((*m.span("phone"), "phone") for m in self.phone_labelled.finditer(t))
+            yield from self._addresses(t)
+        yield from ((a, b, "name") for a, b in self.names.spans(t))
+
+    def _addresses(self, t: str) -> Iterator[tuple[int, int, str]]:
         coded = self.code.search(t) is not None
         for p in self.address if coded else self.address[:-1]:  # the last of them ends in a post code
             yield from ((*m.span(), "address") for m in p.finditer(t))
-        for m in self.on_call.finditer(t):
-            at = m.end()
-            while n := self.then.match(t, at):
-                yield (*n.span("n"), "name")
-                if not (more := self.next.match(t, n.end())):
-                    break
-                at = more.end()
-        low = t.lower()
-        for words, does, who in self.behind:
-            for verb in does.finditer(t) if any(w in low for w in words) else ():
-                if m := who.search(t, max(0, verb.start() - _REACH), verb.start()):
-                    yield from ((*m.span(g), "name") for g in ("n", "m") if g in who.groupindex and m.span(g)[0] >= 0)
-        for words, p in self.names:
-            for m in p.finditer(t) if any(w in low for w in words) else ():
-                for group in ("n", "m"):
-                    if group in p.groupindex and m.span(group)[0] >= 0:
-                        yield (*m.span(group), "name")
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         if not text:
@@ -285,11 +213,6 @@ class Finder:
         t, place = composed(text)
         taken: list[tuple[int, int, str]] = []
         for start, end, kind in self._candidates(t):
-            if kind == "name":
-                found = t[start:end]
-                words = found.lower().replace(",", " ").split()
-                if words[0] in (ALONE_NEVER if len(words) > 1 else NOT_NAMES) or self.things.search(found):
-                    continue
             if start < end and not any(a < end and start < b for a, b, _ in taken):
                 taken.append((start, end, kind))
         if place:
@@ -297,6 +220,25 @@ class Finder:
         return sorted(taken)
 
 
+def fit(documents: DataFrame, text: str = "text", sample: int = names.SAMPLE, longest: int = 20_000) -> names.Model:
+    """A model of the corpus: names and towns, from at most `sample` texts of at most `longest` signs (the texts of least
+    hash, so the same of the same corpus, whatever its order). All else about the model follows from that sample."""
+    import regex
+
+    some = documents.where((F.col(text) != "") & (F.length(text) <= longest)).select(F.col(text).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(sample)
+    texts = [composed(r.t)[0] for r in some.collect()]  # bounded by sample and longest
+    model = names.fit(texts)
+    plain, ends = Finder(model), [regex.compile(p) for p in _TOWN_OF]
+    seen: Counter[str] = Counter()
+    for t in texts:
+        for a, b, _ in plain._addresses(t):
+            for p in ends:
+                if m := p.search(t[a:b]):
+                    seen[" ".join(m["t"].split()).lower()] += 1
+    model.towns = tuple(sorted(w for w, n in seen.most_common(TOWNS) if n >= 2))
+    return model
+
+
 # ---------------------------------------------------------------- pseudonyms
 
 
@@ -338,72 +280,242 @@ def unfeistel(value: list[int], radix: int, key: bytes, tweak: str = "", rounds:
     return digits(a, u) + digits(b, n - u)
 
 
+def _walk(value: list[int], radix: int, key: bytes, tweak: str, back: bool, same) -> list[int]:
+    """The permutation walked on to the next value of the same class: one to one within each class. No class may be rare
+    (the least here is a fortieth of all values), as the walk takes as many steps as it is rare."""
+    move = unfeistel if back else feistel
+    want, out = same(value), move(value, radix, key, tweak)
+    while same(out) != want:
+        out = move(out, radix, key, tweak)
+    return out
+
+
+#: Country codes of one and two digits; all others have three. Fixed values.
+_COUNTRY = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _national(shown: str) -> tuple[int, int]:
+    """Which of the digits of a phone number are its national ones: from, to."""
+    import re
+
+    digits = re.sub(r"\D", "", shown)
+    extension = re.search(r"(?:ext(?:ension)?\.?|x|poste|durchwahl|dw\.?)\s*(\d{1,6})$", shown, re.I)
+    end = len(digits) - (len(extension[1]) if extension else 0)
+    if shown.lstrip().startswith(("+", "00")):
+        at = 0 if shown.lstrip()[0] == "+" else 2
+        at += next((n for n in (1, 2) if digits[at : at + n] in _COUNTRY), 3)
+        if re.search(r"\(0\)", shown):
+            at += 1
+    elif digits[:1] == "1" and end == 11:
+        at = 1
+    else:
+        at = 1 if digits[:1] == "0" else 0
+    return (at, end) if end - at >= 4 else (0, end)
+
+
+def _phone_class(d: list[int]) -> tuple:
+    return d[0] > 0, len(d) == 10 and d[0] > 1 and d[3] > 1
+
+
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
+
+
+def _tax_check(d: list[int]) -> int:
+    """The check digit of a German tax number (ISO 7064, mod 11, 10)."""
+    p = 10
+    for x in d:
+        p = ((x + p) % 10 or 10) * 2 % 11
+    return (11 - p) % 10
+
+
+def _social_class(d: list[int]) -> bool:
+    area = d[0] * 100 + d[1] * 10 + d[2]
+    return area not in (0, 666) and area < 900 and d[3] + d[4] > 0 and sum(d[5:]) > 0
+
+
+def _moved_id(d: list[int], letters: list[int], form: str, key: bytes, back: bool) -> tuple[list[int], list[int]]:
+    """Digits and letters of an id number moved. form: 9 for a digit, A for a letter, in order."""
+    number = int("".join(map(str, d)) or "0")
+    spanish = form in ("99999999A", "A9999999A") and (form[0] == "9" or letters[0] in (23, 24, 25))
+    if spanish:
+        lead = (letters[0] - 23) * 10**7 if form[0] == "A" else 0
+        if _DNI[(lead + number) % 23] == chr(65 + letters[-1]):
+            d = _walk(d, 10, key, "dni" + form[0] + str(lead), back, lambda x: True)
+            return d, [*letters[:-1], ord(_DNI[(lead + int("".join(map(str, d)))) % 23]) - 65]
+    if form == "9" * 15 and number % 100 == 97 - number // 100 % 97:
+        d = _walk(d[:13], 10, key, "nir", back, lambda x: (x[0] in (1, 2), 1 <= x[3] * 10 + x[4] <= 12))
+        return [*d, *divmod(97 - int("".join(map(str, d))) % 97, 10)], []
+    if form == "9" * 11 and d[0] and _tax_check(d[:10]) == d[10]:
+        d = _walk(d[:10], 10, key, "tax", back, lambda x: x[0] > 0)
+        return [*d, _tax_check(d)], []
+    insurance = form == "AA999999A" and letters[2] < 4
+    then = _walk(d, 10, key, "id_number" + form, back, _social_class if form == "9" * 9 else lambda x: True) if d else d
+    # Letters are moved by a key that depends on the digits of the pseudonym, which both directions know.
+    tweak = "letters" + form + "".join(map(str, d if back else then))
+    if insurance:
+        bad = lambda x: (x[0] in (3, 5, 8, 16, 20, 21), x[1] in (3, 5, 8, 14, 16, 20, 21))
+        return then, [*_walk(letters[:2], 26, key, tweak, back, bad), *_walk(letters[2:], 4, key, tweak, back, lambda x: True)]
+    return then, _walk(letters, 26, key, tweak, back, lambda x: True) if letters else []
+
+
 def permuted(value: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """A number moved within its format: decimal digits among digits, capital letters among letters, all other signs kept.
+    """A phone number or id number (tweak: its kind) moved within its format and class; back turns it back.
 
     Digits of any script and letters of full width count by their value and come back in their own form, so that a
     number moves alike however it is written.
     """
-    move = unfeistel if back else feistel
+    digits = [(i, ord(c) - unicodedata.decimal(c)) for i, c in enumerate(value) if c.isdecimal()]
+    d = [ord(value[i]) - low for i, low in digits]
+    letters = [(i, ord(a)) for i, c in enumerate(value) for a in ("A", "\uff21") if a <= c <= chr(ord(a) + 25)] if tweak != "phone" else []
+    moved_letters: list[int] = []
+    if tweak == "phone":
+        shown = "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in value.translate(_SIGNS))
+        a, b = _national(shown)
+        moved = [*d[:a], *_walk(d[a:b], 10, key, "phone", back, _phone_class), *d[b:]] if b > a else d
+    else:
+        form = "".join("9" if c.isdecimal() else "A" for i, c in enumerate(value) if c.isdecimal() or any(i == at for at, _ in letters))
+        moved, moved_letters = _moved_id(d, [ord(value[i]) - low for i, low in letters], form, key, back)
     out = list(value)
-    places = [(10, [(i, ord(c) - unicodedata.decimal(c)) for i, c in enumerate(value) if c.isdecimal()])]
-    if tweak != "phone":
-        places.append((26, [(i, ord(a)) for i, c in enumerate(value) for a in ("A", "\uff21") if a <= c <= chr(ord(a) + 25)]))
-    for radix, at in places:
-        for (i, low), x in zip(at, move([ord(value[i]) - low for i, low in at], radix, key, tweak) if at else [], strict=True):
-            out[i] = chr(low + x)
+    for (i, low), x in [*zip(digits, moved, strict=True), *zip(letters, moved_letters, strict=True)]:
+        out[i] = chr(low + x)
     return "".join(out)
 
 
+#: The days that dates of birth are moved among.
+_FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+
+
+def _day(written: str) -> tuple[int, str] | None:
+    """(day, format) of a date that exists; day first where the year stands last."""
+    sign = next(c for c in written if not c.isdigit())
+    parts = [int(x) for x in written.split(sign)]
+    year_first = parts[0] > 31
+    try:
+        day = datetime.date(*parts if year_first else reversed(parts)).toordinal()
+    except ValueError:
+        return None
+    return (day, f"%Y{sign}%m{sign}%d" if year_first else f"%d{sign}%m{sign}%Y") if _FIRST_DAY <= day <= _LAST_DAY else None
+
+
+def moved_date(written: str, key: bytes, back: bool = False) -> str:
+    """A date moved to another day of the two centuries, in its own format."""
+    day, form = _day(written)
+    bits = [day - _FIRST_DAY >> i & 1 for i in reversed(range(17))]
+    whole = lambda x: sum(b << i for i, b in enumerate(reversed(x))) <= _LAST_DAY - _FIRST_DAY
+    moved = _walk(bits, 2, key, "date", back, whole)
+    return datetime.date.fromordinal(_FIRST_DAY + sum(b << i for i, b in enumerate(reversed(moved)))).strftime(form)
+
+
 def placeholder(kind: str, value: str, key: bytes) -> str:
-    """[KIND:...]: the permuted number, or a tag of 40 bits that is equal for equal values."""
+    """[KIND:...]: the permuted number or date, or a tag of 128 bits that is equal for equal values."""
     if kind in ("phone", "id_number"):
         return f"[{kind.upper()}:{permuted(value, key, kind)}]"
+    if kind == "date":
+        return f"[DATE:{moved_date(value, key)}]"
     same = " ".join(value.translate(_SIGNS).lower().split())
-    return f"[{kind.upper()}:{_prf(key, kind, same) & (1 << 40) - 1:010x}]"
+    return f"[{kind.upper()}:{_prf(key, kind, same) >> 128:032x}]"
+
+
+def turned_back(text_out: str, spans: list, key: bytes, values: list[str] | None = None) -> str:
+    """The text that placeholders stand in, turned back: numbers and dates by the key alone, tags by the values that the
+    spans held (without them tags stay). spans: kind, start_char, end_char of the text as it was."""
+    parts, at, done = [], 0, 0
+    for i, (kind, start, end) in enumerate(spans):
+        rest = start - done
+        head = f"[{kind.upper()}:"
+        stop = text_out.index("]", at + rest + len(head))
+        parts.append(text_out[at : at + rest])
+        body = text_out[at + rest + len(head) : stop]
+        if kind in ("phone", "id_number"):
+            parts.append(permuted(body, key, kind, back=True))
+        elif kind == "date":
+            parts.append(moved_date(body, key, back=True))
+        else:
+            parts.append(text_out[at + rest : stop + 1] if values is None else values[i])
+        at, done = stop + 1, end
+    return "".join([*parts, text_out[at:]])
 
 
 SPANS = "array<struct<kind:string,start_char:bigint,end_char:bigint>>"
 
 
-def pseudonymise(documents: DataFrame, text: str = "text", key: str = KEY, into: str = "text_out", spans: str = "spans") -> DataFrame:
-    """The documents with two columns more: the text with typed placeholders, and the spans that they stand for."""
+def pseudonymise(documents: DataFrame, key: str, text: str = "text", model: names.Model | None = None, into: str = "text_out", spans: str = "spans", dates: bool = False) -> DataFrame:
+    """The documents with two columns more: the text with typed placeholders, and the spans that they stand for.
+
+    key: the secret of the pseudonyms; there is no default. model: of `fit`; without one, that of the labelled sentences.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+
+    def run(finder: Finder, texts) -> tuple[list, list]:
+        secret, outs, found_ = key.encode(), [], []
+        for t in texts:
+            here = finder.spans(t)
+            found_.append([{"kind": k, "start_char": a, "end_char": b} for a, b, k in here])
+            if t is None:
+                outs.append(None)
+                continue
+            parts, at = [], 0
+            for a, b, k in here:
+                parts += [t[at:a], placeholder(k, t[a:b], secret)]
+                at = b
+            outs.append("".join([*parts, t[at:]]))
+        return outs, found_
+
+    out = _applied(documents, text, f"o string, s {SPANS}", model, dates, lambda f, x: dict(zip("os", run(f, x), strict=True)))
+    return out.select(*[F.col(f"`{c}`") for c in documents.columns], F.col("__pii.o").alias(into), F.col("__pii.s").alias(spans))
+
+
+def _applied(documents: DataFrame, text: str, schema: str, model: names.Model | None, dates: bool, run) -> DataFrame:
+    """documents with a struct __pii that run(finder, texts) gives, a list for each field."""
+    import pandas as pd
 
-    def run(batches: Iterator) -> Iterator:
+    # A model is bounded by its sample; it is sent to each executor once.
+    sent = documents.sparkSession.sparkContext.broadcast(model) if model is not None else None
+
+    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import pandas as pd
 
-        finder, secret = Finder(), key.encode()
+        finder = Finder(sent.value if sent is not None else None, dates)
         for texts in batches:
-            outs, found = [], []
-            for t in texts:
-                here = finder.spans(t)
-                found.append([{"kind": k, "start_char": a, "end_char": b} for a, b, k in here])
-                if t is None:
-                    outs.append(None)
-                    continue
-                parts, at = [], 0
-                for a, b, k in here:
-                    parts += [t[at:a], placeholder(k, t[a:b], secret)]
-                    at = b
-                outs.append("".join([*parts, t[at:]]))
-            yield pd.DataFrame({"o": outs, "s": found})
+            yield pd.DataFrame(run(finder, texts))
 
+    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     # Not deterministic for the optimizer, which else evaluates it a second time in a filter inferred from explode.
-    udf = F.pandas_udf(_typed(run), f"o string, s {SPANS}").asNondeterministic()
-    return documents.withColumn("__pii", udf(F.col(text))).select(*[F.col(f"`{c}`") for c in documents.columns], F.col("__pii.o").alias(into), F.col("__pii.s").alias(spans))
+    return documents.withColumn("__pii", F.pandas_udf(typed, schema).asNondeterministic()(F.col(f"`{text}`")))
+
+
+def found(documents: DataFrame, id_column: str = "doc_id", text: str = "text", model: names.Model | None = None, dates: bool = False) -> DataFrame:
+    """id, kind, start_char, end_char: one row per span."""
+    listed = lambda f, x: {"s": [[{"kind": k, "start_char": a, "end_char": b} for a, b, k in f.spans(t)] for t in x]}
+    spans = _applied(documents.select(id_column, text), text, f"s {SPANS}", model, dates, listed).select(id_column, F.explode("__pii.s").alias("s"))
+    return spans.select(id_column, "s.kind", "s.start_char", "s.end_char")
+
 
+def tags(replaced: DataFrame, key: str, text: str = "text", spans: str = "spans") -> DataFrame:
+    """tag, kind, value, n: what each tag of names and addresses stands for, in each of its spellings.
 
-def _typed(run):
+    The table that, beside the key, turns pseudonyms back; it is to be kept as the key is.
+    """
     import pandas as pd
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from run(batches)
+    def tagged(kinds: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([placeholder(k, v, key.encode())[len(k) + 2 : -1] for k, v in zip(kinds, values, strict=True)])
 
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return typed
+    tagged.__annotations__ = {"kinds": pd.Series, "values": pd.Series, "return": pd.Series}
+    here = replaced.select(text, F.explode(spans).alias("s")).where(F.col("s.kind").isin("email", "address", "name"))
+    value = F.substring(F.col(text), (F.col("s.start_char") + 1).cast("int"), (F.col("s.end_char") - F.col("s.start_char")).cast("int"))
+    counted = here.select(F.col("s.kind").alias("kind"), value.alias("value")).groupBy("kind", "value").agg(F.count("*").alias("n"))
+    return counted.select(F.pandas_udf(tagged, "string")("kind", "value").alias("tag"), "kind", "value", "n")
 
 
-def found(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, kind, start_char, end_char: one row per span."""
-    spans = pseudonymise(documents.select(id_column, text), text).select(id_column, F.explode("spans").alias("s"))
-    return spans.select(id_column, "s.kind", "s.start_char", "s.end_char")
+def restored(replaced: DataFrame, key: str, id_column: str = "doc_id", text: str = "text", text_out: str = "text_out", spans: str = "spans") -> DataFrame:
+    """id, text: what pseudonymise gave, turned back from its placeholders, each text's own tags by its own values."""
+    import pandas as pd
+
+    def back(outs: pd.Series, found_: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([None if o is None else turned_back(o, [(s["kind"], s["start_char"], s["end_char"]) for s in f], key.encode(), v) for o, f, v in zip(outs, found_, values, strict=True)])
+
+    back.__annotations__ = {"outs": pd.Series, "found_": pd.Series, "values": pd.Series, "return": pd.Series}
+    values = F.transform(spans, lambda s: F.substr(F.col(text), (s["start_char"] + 1).cast("int"), (s["end_char"] - s["start_char"]).cast("int")))
+    return replaced.select(id_column, F.pandas_udf(back, "string")(F.col(text_out), F.col(spans), values).alias(text))

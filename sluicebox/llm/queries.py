@@ -58,17 +58,33 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents, targets, mixing.mix(documents, targets))
 
 
+#: The key of the pseudonyms of the test tables; they are no secret.
+TEST_KEY = "a key for test tables"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, start_char, end_char of each span that p8_replaced replaces."""
-    return pii.found(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    texts = _texts(spark, sf_dir)
+    return pii.found(texts, model=pii.fit(texts))
 
 
 def p8_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text_out: the texts with typed placeholders."""
-    return pii.pseudonymise(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "text_out")
+    texts = _texts(spark, sf_dir)
+    return pii.pseudonymise(texts, TEST_KEY, model=pii.fit(texts)).select("doc_id", "text_out")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: the replaced texts turned back, numbers by the key and all else by a table of what the tags stand for."""
+    texts = _texts(spark, sf_dir)
+    return pii.restored(pii.pseudonymise(texts, TEST_KEY, model=pii.fit(texts)), TEST_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced, p8_restored)}
 
 _ID = "lower(trim({0}, ' ' || chr(9) || chr(10) || chr(13)))"
 
@@ -86,6 +102,7 @@ join r a on a.k = ke and a.s in ('calibration', 'test') join r b on b.k = kt and
 """
 
 ORACLE = {
+    "p8_restored": "select doc_id, text from documents",
     "p1_found": f"{_P1} select least(item_e, item_t) as event_id_1, greatest(item_e, item_t) as event_id_2 from found",
     "p1_report": f"""{_P1} select split_name, source_url, count(*) as n_pairs, count(distinct item_e) as n_records, count(*) filter (where distance = 0) as n_equal
 from found left join capture_sessions using (session) group by 1, 2""",

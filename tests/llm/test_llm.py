@@ -210,7 +210,7 @@ def test_an_address_may_end_with_its_code():
 def test_replacement_leaves_the_rest_and_links_equal_values(spark):
     data = [(i, t) for i, (t, _) in enumerate(SPANS)] + [(98, None), (99, ""), (100, SPANS[0][0])]
     df = spark.createDataFrame(data, "doc_id bigint, text string").withColumn("spans_", F.lit("clash")).withColumn("s", F.lit(1))
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     assert out[98].text_out is None and out[99].text_out == "" and out[98].spans == []
     assert out[0].text_out == out[100].text_out and out[0].s == 1
     for i, (t, want) in enumerate(SPANS):
@@ -255,6 +255,86 @@ def test_numbers_in_other_digits_are_moved_and_linked():
             assert form(number) not in pii.placeholder(kind, form(number), b"k")
 
 
+def test_recall_and_precision_on_sentences_held_out():
+    """No sentence of these stands among those the operator is fitted on, and no corpus has taught it anything."""
+    from collections import Counter
+
+    from held_out import cases
+
+    finder, both, ours, true = pii.Finder(), Counter(), Counter(), Counter()
+    for text, want in cases():
+        got = {(k, a, b) for a, b, k in finder.spans(text)}
+        for bag, spans in ((both, got & set(want)), (ours, got), (true, want)):
+            bag.update(k for k, *_ in spans)
+    figures = {k: (round(both[k] / true[k], 2), round(both[k] / max(1, ours[k]), 2)) for k in pii.KINDS}
+    assert all(r >= 0.9 and p >= 0.9 for r, p in figures.values()), figures
+
+
+def test_numbers_are_linked_however_they_are_written():
+    move = lambda x: pii.permuted(x, b"k", "phone")
+    digits = lambda x: "".join(c for c in x if c.isdigit())
+    forms = ["+1 202-555-0143", "(202) 555-0143", "1-202-555-0143", "202.555.0143 ext. 7"]
+    moved = [move(f) for f in forms]
+    assert len({digits(m.split("ext")[0])[-10:] for m in moved}) == 1 and moved[0].startswith("+1 ") and moved[3].endswith("ext. 7")
+    assert moved[1][1] in "23456789" and digits(moved[1])[3] in "23456789"
+    german = [move(f) for f in ("+49 (0)30 23125-725", "030/23125-725", "0049 30 23125 725")]
+    assert len({digits(m)[-10:] for m in german}) == 1 and german[0].startswith("+49 (0)") and german[2].startswith("0049 ")
+    for f in forms:
+        assert pii.permuted(move(f), b"k", "phone", back=True) == f
+
+
+def test_valid_numbers_stay_valid():
+    for number in range(12345600, 12345680):
+        valid = f"{number}{pii._DNI[number % 23]}"
+        moved = pii.permuted(valid, b"k", "id_number")
+        assert moved[-1] == pii._DNI[int(moved[:8]) % 23] and pii.permuted(moved, b"k", "id_number", back=True) == valid
+    assert len({pii.permuted(f"{n:08}{pii._DNI[n % 23]}", b"k", "id_number") for n in range(3000)}) == 3000
+    wrong = pii.permuted("12345678A", b"k", "id_number")
+    assert pii.permuted(wrong, b"k", "id_number", back=True) == "12345678A"
+    tax = pii.permuted("86095742719", b"k", "id_number")
+    assert pii._tax_check([*map(int, tax[:10])]) == int(tax[10]) and pii.permuted(tax, b"k", "id_number", back=True) == "86095742719"
+    social = pii.permuted("1 84 12 76 451 089 46", b"k", "id_number")
+    n = int(social.replace(" ", ""))
+    assert n % 100 == 97 - n // 100 % 97 and pii.permuted(social, b"k", "id_number", back=True) == "1 84 12 76 451 089 46"
+    for kept in ("123-45-6789", "AB 12 34 56 C", "X1234567L", "L01X00T47", "7", "A1", "666-00-0000"):
+        moved = pii.permuted(kept, b"k", "id_number")
+        assert pii.permuted(moved, b"k", "id_number", back=True) == kept
+    assert pii.permuted("123-45-6789", b"k", "id_number")[:3] not in ("000", "666") and pii.permuted("AB 12 34 56 C", b"k", "id_number")[-1] in "ABCD"
+
+
+def test_dates_of_birth_are_moved_where_asked_for():
+    text = "Born on 29.02.2000, seen on 01.03.2026; dob: 1987-11-30, geb. am 31.02.1999."
+    assert pii.Finder().spans(text) == []
+    got = [text[a:b] for a, b, k in pii.Finder(dates=True).spans(text) if k == "date"]
+    assert got == ["29.02.2000", "1987-11-30"]
+    for d in got:
+        moved = pii.moved_date(d, b"k")
+        assert moved != d and len(moved) == len(d) and pii.moved_date(moved, b"k", back=True) == d
+
+
+def test_replacements_turn_back(spark):
+    data = [(i, t) for i, (t, _) in enumerate(SPANS)] + [(98, None), (99, ""), (100, SPANS[0][0])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    out = pii.pseudonymise(df, "k")
+    assert rows(pii.restored(out, "k")) == rows(df)
+    known = {r.tag: (r.kind, r.value) for r in pii.tags(out, "k").collect()}
+    assert all(len(t) == 32 for t in known) and ("name", "Tiro von Vespamura") in known.values()
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
+
+
+def test_a_model_of_a_corpus(spark):
+    """What stands in signatures is known elsewhere; the fit doesn't depend on the order of rows, and nothing is needed."""
+    made = [f"All fine.\n\nRegards,\n{g} Qhelvadour" for g in ("Thrigwen", "Ozmelia", "Parvendo")] * 3 + ["thrigwen qhelvadour left. the cart is late. Nobody came.", "the cart is late", "the cart is late"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(made)], "doc_id bigint, text string")
+    model = pii.fit(df)
+    assert {"qhelvadour"} <= set(model.parts) and pii.fit(df.orderBy(F.desc("doc_id"))) == model
+    text = "Then Ozmelia Qhelvadour left."
+    assert [text[a:b] for a, b, _ in pii.Finder(model).spans(text)] == ["Ozmelia Qhelvadour"]
+    assert pii.fit(df.limit(0)).parts == {}
+    assert rows(pii.found(df.limit(0), model=model)) == []
+
+
 def test_very_long_texts(spark):
     text = "x1 " * 30_000 + "mail a@b.example now. " + "A" * 50_000
     assert [k for *_, k in pii.Finder().spans(text)] == ["email"]
