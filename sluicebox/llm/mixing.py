@@ -15,7 +15,8 @@ less than its largest two documents at any size, and commonly by a few tokens.
 
 Defined results: sources are compared without surrounding blanks and in lower case; documents without a target (null
 sources too) are left out; a target without documents reaches nothing and is reported; a capped source gives all it may
-and the others keep their own targets; documents of no tokens are drawn like others; null or negative shares and caps
+and the others keep their own targets, or, with `fill`, take over what it can't give, in proportion to their shares and
+up to their own caps, so that the total asked for is reached whenever all caps together allow it; documents of no tokens are drawn like others; null or negative shares and caps
 count as 0; several targets of one source are added up, with the smallest cap; empty tables give empty results.
 """
 
@@ -34,10 +35,23 @@ def source_name(c: Column) -> Column:
     return F.lower(F.btrim(c, F.lit(" \t\r\n")))
 
 
-def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
+def level(shares: list[float], caps: list[float], total: float) -> float:
+    """The factor by which shares are to be raised so that the sum of min(factor * share, cap) is the total; infinite where
+    the caps together don't allow it (or only just)."""
+    order = sorted((c / s, s, c) for s, c in zip(shares, caps, strict=True) if s > 0)
+    given, left = 0.0, sum(s for _, s, _ in order)
+    for at, s, c in order:
+        if given + at * left >= total:
+            return (total - given) / left
+        given, left = given + c, left - s
+    return float("inf")
+
+
+def plan(documents: DataFrame, targets: DataFrame, fill: bool = False) -> DataFrame:
     """source, target_share, max_repeats, n_documents, n_tokens (held), wanted, factor: one row per target.
 
-    documents: source, n_tokens. factor is how often each document is used on average.
+    documents: source, n_tokens. factor is how often each document is used on average. fill: what capped sources can't
+    give is wanted of those that have room.
     """
     held = documents.groupBy(source_name(F.col("source")).alias("source")).agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     share = F.greatest(F.coalesce(F.col("target_share"), F.lit(0.0)), F.lit(0.0))
@@ -46,6 +60,13 @@ def plan(documents: DataFrame, targets: DataFrame) -> DataFrame:
     both = want.join(held, "source", "left").fillna(0, ["n_documents", "n_tokens"])
     total = both.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
     both = both.crossJoin(F.broadcast(total)).withColumn("wanted", F.col("target_share") * F.col("total"))
+    if fill:
+        both = stored(both, "mix-targets")
+        rows = both.select("target_share", (F.col("max_repeats") * F.col("n_tokens")).alias("cap"), "total").collect()  # a row per target
+        asked = min(1.0, sum(r.target_share for r in rows)) * (rows[0].total if rows else 0)
+        raised = level([r.target_share for r in rows], [float(r.cap) for r in rows], float(asked))
+        cap = (F.col("max_repeats") * F.col("n_tokens")).cast("double")
+        both = both.withColumn("wanted", cap if raised == float("inf") else F.least(F.greatest(F.lit(raised) * F.col("target_share"), F.lit(0.0)), cap))
     factor = F.least(F.col("max_repeats").cast("double"), F.coalesce(F.try_divide("wanted", "n_tokens"), F.lit(0.0)))
     return both.withColumn("factor", factor).drop("total")
 
@@ -135,9 +156,9 @@ def _round(undecided: DataFrame, blocks: DataFrame, seed: int, number: int) -> D
     return placed.groupBy("source", "block").applyInPandas(run, f"source string, key {kind}, h bigint, n_tokens bigint, base bigint, p double")
 
 
-def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 7, block: int = BLOCK) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 7, block: int = BLOCK, fill: bool = False) -> DataFrame:
     """key, source, n_tokens, copies: the documents used, each with how often. documents: key, source, n_tokens."""
-    shares = stored(plan(documents, targets), "mix-plan").select("source", "factor")
+    shares = stored(plan(documents, targets, fill), "mix-plan").select("source", "factor")
     rows = documents.select(source_name(F.col("source")).alias("source"), F.col(key).alias("key"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     rows = rows.join(shares, "source").withColumn("base", F.floor("factor")).withColumn("p", F.col("factor") - F.col("base"))
     state = stored(rows.select("source", "key", F.xxhash64(F.lit(seed), "key").alias("h"), "n_tokens", "base", "p"), "mix-0")

@@ -225,7 +225,10 @@ def fit(documents: DataFrame, text: str = "text", sample: int = names.SAMPLE, lo
     hash, so the same of the same corpus, whatever its order). All else about the model follows from that sample."""
     import regex
 
-    some = documents.where((F.col(text) != "") & (F.length(text) <= longest)).select(F.col(text).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(sample)
+    rows = documents.where((F.col(text) != "") & (F.length(text) <= longest)).select(F.col(text).alias("t"), F.shiftrightunsigned(F.xxhash64(text), 11).alias("h"))
+    # Only about the sample is shuffled: the hashes up to what their number lets expect, with room for its error.
+    n = rows.agg(F.approx_count_distinct("h", 0.02).alias("n")).first().n
+    some = rows.where(F.col("h") <= F.lit(int(min(1.0, 1.3 * (sample + 100) / max(n, 1)) * (1 << 53)))).select("t", "h").distinct().orderBy("h", "t").limit(sample)
     texts = [composed(r.t)[0] for r in some.collect()]  # bounded by sample and longest
     model = names.fit(texts)
     plain, ends = Finder(model), [regex.compile(p) for p in _TOWN_OF]

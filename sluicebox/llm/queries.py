@@ -49,13 +49,13 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, copies."""
-    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), fill=True)
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares reached by p7_mix."""
     documents, targets = _sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")
-    return mixing.report(documents, targets, mixing.mix(documents, targets))
+    return mixing.report(documents, targets, mixing.mix(documents, targets, fill=True))
 
 
 #: The key of the pseudonyms of the test tables; they are no secret.

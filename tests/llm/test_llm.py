@@ -75,6 +75,44 @@ def test_overlaps_of_odd_rows(spark):
         split_overlap.overlaps(spark.createDataFrame([], ROW), edits=4)
 
 
+def gram_share(a, b):
+    q = max(2, next((q for least, q in split_overlap.GRAMS if len(a) >= least), 0))
+    cut = lambda x: {x[i : i + q] for i in range(len(x) - q + 1)} or {x}
+    return len(cut(a) & cut(b)) / len(cut(a))
+
+
+@pytest.mark.parametrize("hot", [40, 100_000])
+def test_containment_is_that_of_the_sets_of_grams_however_hot(spark, hot):
+    data, want = overlap_case(7, (3, 8, 13, 30, 64))
+    text = {r[1]: r[0] for r in data}
+    got = split_overlap.overlaps(spark.createDataFrame(data, ROW), hot_pairs=hot).collect()
+    assert {(r.item_e, r.item_t) for r in got} == want
+    for r in got:
+        assert r.containment == pytest.approx(gram_share(text[r.item_e], text[r.item_t])) and r.distance == distance(text[r.item_e], text[r.item_t])
+
+
+def test_hot_keys_within_hot_keys(spark):
+    """Prefixes longer than one gram: the finer keys are hot again."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    train = ["0" * 40 + hexes(30) for _ in range(60)]
+    evals = [edited(rng, t, 3) for t in train[:30]] + ["0" * 40 + hexes(30) for _ in range(30)]
+    data = [(t, f"t{i}", False, "train", "a") for i, t in enumerate(train)] + [(t, f"v{i}", True, "test", "b") for i, t in enumerate(evals)]
+    got = {(r.item_e, r.item_t) for r in split_overlap.overlaps(spark.createDataFrame(data, ROW), hot_pairs=100).collect()}
+    assert got == {(f"v{j}", f"t{i}") for i, t in enumerate(train) for j, v in enumerate(evals) if distance(t, v) <= 3} and len(got) >= 30
+
+
+def test_texts_of_many_records_go_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(split_overlap, "PART_RECORDS", 3)
+    a, b = "a" * 64, "a" * 62 + "bc"
+    data = [(a, f"t{i}", False, "train", "s") for i in range(10)] + [(b, f"v{i}", True, "test", "s") for i in range(7)] + [(b, "v0", True, "test", "s"), (a, "v0", True, "test", "s")]
+    df = spark.createDataFrame(data, ROW)
+    got = [(r.item_e, r.item_t, r.distance) for r in split_overlap.overlaps(df).collect()]
+    assert sorted(got) == sorted((f"v{j}", f"t{i}", 2 if j else 0) for j in range(7) for i in range(10))
+    pairs = sorted((r.text_e, r.text_t, r.n_e, r.n_t, r.distance) for r in split_overlap.text_overlaps(df).collect())
+    assert pairs == sorted([(a, a, 1, 10, 0), (b, a, 7, 10, 2)])
+
+
 # ---------------------------------------------------------------- 6: tokens
 
 TEXTS = ["", None, " ", "\n\n  \t x", "don't, we'll 've 'S", "Gebühren  für 12345 sats!!", "セッションは97。", "<|endoftext|> and <|startoftext|>", "a" * 5000, "word " * 3000, "  x　y​", "👩‍👩‍👧 ok", "\U0001e900 ౝ Ᲊ \U00010d40", "x\r\n\r\ny   ", "½ ² Ⅷ ٣"]
@@ -106,6 +144,18 @@ def test_ids_of_whole_test_data(spark, sf):
     assert got == {r.doc_id: want(r.text) for r in docs.select("doc_id", "text").collect()}
 
 
+def test_the_wide_form_gives_the_same(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    assert rows(tokens.encode(df, wide=True)) == rows(tokens.encode(df, wide=False))
+
+
+def test_a_frequent_word_too_large_is_passed_over(spark):
+    table = spark.createDataFrame([("x" * 500, 9, [1]), ("a", 5, [2]), ("b", 4, [3])], "word string, n bigint, ids array<int>")
+    assert rows(tokens._common(table, 10, 300).select("word")) == [("a",), ("b",)]
+    assert rows(tokens._common(table, 2, 300).select("word")) == [("a",)]
+    assert rows(tokens._common(table, 10, 100).select("word")) == [("a",)]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     want = reference()
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "d"), (2, ""), (2, "")], "doc_id bigint, text string")
@@ -150,6 +200,16 @@ def test_caps_hold_and_are_reported(spark):
     assert report["b"].tokens_used == 100 and report["b"].share_reached == pytest.approx(1 / 3)
 
 
+def test_room_is_filled_up_to_the_total(spark):
+    docs = [(i, "a", 10) for i in range(10)] + [(100 + i, "b", 10) for i in range(60)] + [(300 + i, "c", 10) for i in range(30)]
+    d, t = spark.createDataFrame(docs, DOC), spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("c", 0.1, 1), ("none", 0.1, 9)], TARGET)
+    m = mixing.mix(d, t, fill=True)
+    used = {r.source: r.tokens_used for r in mixing.report(d, t, m).collect()}
+    assert used["a"] == 200 and used["none"] == 0 and sum(used.values()) == pytest.approx(1000, abs=20) and used["b"] == pytest.approx(3 * used["c"], abs=30)
+    assert mixing.level([0.5, 0.5], [10.0, 10.0], 30.0) == float("inf") and mixing.level([0.5, 0.5], [10.0, 100.0], 30.0) == pytest.approx(40.0)
+    assert mixing.mix(d.limit(0), t, fill=True).isEmpty() and mixing.mix(d, t.limit(0), fill=True).isEmpty()
+
+
 def test_mixing_odd_input(spark):
     copies, report = mixed(spark, [(1, None, 5), (2, "x", 0), (3, "x", None), (4, "y", 7)], [("x", 1.0, 1), (None, 0.5, 1), ("y", None, 3), ("z", -1.0, 1)])
     assert copies == {} and report["x"].tokens_used == 0 and set(report) == {"x", "y", "z"}
