@@ -61,10 +61,8 @@ def alert_rates(df: DataFrame, flag: str, hours: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, points: tuple[float, ...]) -> DataFrame:
-    """point, value: linear between neighbours (exact)."""
-    p = F.expr(f"percentile({value}, array({', '.join(map(str, points))}))")
-    named = F.arrays_zip(F.array(*map(F.lit, points)).alias("point"), p.alias("value"))
-    return df.agg(named.alias("x")).select(F.explode("x").alias("x")).select("x.point", "x.value")
+    """point, value: linear between neighbours (exact), from counts of distinct values. Nulls don't count; no row without any value."""
+    return quantile_grids(df, (value,), points).select("point", "value")
 
 
 def nearest_rank(df: DataFrame, value: str, points: tuple[float, ...]) -> DataFrame:
@@ -80,7 +78,9 @@ def quantile_grids(df: DataFrame, names: tuple[str, ...], points: tuple[float, .
     parts = []
     for name in names:
         ranks = cumulative(value_counts(df, name), "value").select(F.lit(name).alias("feature"), F.col("value").cast("double"), "n", "below", "total")
-        parts.append(ranks.select("*", F.explode(F.array(*map(F.lit, points))).alias("point")))
+        inside = lambda p, f: f(p * (F.col("total") - 1)).between(F.col("below"), F.col("below") + F.col("n") - 1)
+        # Only the points that a value is an end of stand beside it.
+        parts.append(ranks.select("*", F.explode(F.filter(F.array(*map(F.lit, points)), lambda p: inside(p, F.floor) | inside(p, F.ceil))).alias("point")))
     k = F.col("point") * (F.col("total") - 1)
     at = reduce(DataFrame.unionByName, parts).withColumns({"low": F.floor(k), "high": F.ceil(k), "share": k - F.floor(k)})
     holds = lambda i: (F.col("below") <= F.col(i)) & (F.col(i) < F.col("below") + F.col("n"))
@@ -94,9 +94,12 @@ def tail_positions(rows: DataFrame, reference: DataFrame, key: str, features: tu
     """key, feature, training_percentile, extremeness: the features of each row that lie furthest in a reference's tails.
 
     The percentile is the middle of the value's rank, (less + half of equal) / n. Reference values are counted; a row's
-    value takes its rank from the nearest counted value below it, found by one window over union of the two, partitioned
-    by feature and a range of values, with the ranges' totals carried over.
+    value takes its rank from the nearest counted value below it, found by a window over the union of the two within
+    range partitions of (feature, value); what stood last in the partitions before is carried over, a row per partition.
+    A value that very many rows hold is joined back with its rows by a broadcast of bounded size or by a split join.
     """
+    spark = rows.sparkSession
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = []
     for name in features:
         ref = value_counts(reference, name)
@@ -107,10 +110,15 @@ def tail_positions(rows: DataFrame, reference: DataFrame, key: str, features: tu
     asked = long.select("feature", "value").distinct()
     marks = asked.select("feature", F.col("value").cast("double"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("below"), F.lit(None).cast("bigint").alias("total"), F.lit(1).alias("asked"))
     known = ranks.select("feature", F.col("value").cast("double"), "n", "below", "total", F.lit(0).alias("asked"))
-    w = Window.partitionBy("feature").orderBy("value", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("asked") == 0, F.struct("value", "n", "below", "total")), ignorenulls=True).over(w)
+    both = stored(known.unionByName(marks).repartitionByRange(width, "feature", "value").withColumn("p", F.spark_partition_id()), "tail-both")
+    held = F.when(F.col("asked") == 0, F.struct("value", "n", "below", "total"))
+    inner = Window.partitionBy("p", "feature").orderBy("value", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy("feature", "p").agg(F.max(held).alias("end"))  # a row per feature and partition
+    before = Window.partitionBy("feature").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("feature", "p", F.last("end", ignorenulls=True).over(before).alias("carried"))
     totals = ranks.groupBy("feature").agg(F.max("total").alias("total"))
-    placed = known.unionByName(marks).withColumn("at", last).where("asked = 1").select("feature", "value", "at")
+    at = F.coalesce(F.last(held, ignorenulls=True).over(inner), F.col("carried"))
+    placed = both.join(F.broadcast(carried), ["feature", "p"]).withColumn("at", at).where("asked = 1").select("feature", "value", "at")
     equal = F.col("at.value") == F.col("value")
     rank = F.when(F.col("at").isNull(), F.lit(0.0)).when(equal, F.col("at.below") + 0.5 * F.col("at.n")).otherwise((F.col("at.below") + F.col("at.n")).cast("double"))
     placed = placed.join(F.broadcast(totals), "feature").withColumn("p", rank / F.col("total"))

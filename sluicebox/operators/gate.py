@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..contracts import Contract, Field
 from ..functions.ids import iso_instant
 from ..functions.once import once
-from ..session import hadoop_path, stored, write_atomically
+from ..session import forget, hadoop_path, stored, write_atomically
 from .normalise import kind_from, kind_of, member
 
 _WANTED = {"string": ("string",), "bigint": ("integer",), "int": ("integer",), "double": ("integer", "decimal", "huge"), "boolean": ("boolean",), "timestamp": ("string",), "array<string>": ("list",)}
@@ -66,11 +66,12 @@ def checked(rows: DataFrame, contract: Contract, row: str = "row", order: tuple[
 def with_duplicates(rows: DataFrame, contract: Contract, order: tuple[str, ...] = ("ord",), scope: tuple[str, ...] = ()) -> DataFrame:
     """The same with duplicate_key added to all passing rows of a key but its first. scope: columns within which keys compete."""
     key = F.when(F.size("failures") == 0, F.col(f"typed.{contract.key}"))
-    keyed = rows.withColumn("__k", key)
-    first = keyed.where("__k is not null").groupBy("__k", *scope).agg(F.min(F.struct(*order)).alias("__f"))
-    joined = keyed.join(first, ["__k", *scope], "left")
+    # Rows without a key find nothing in the join; a salt keeps them from meeting in one task.
+    keyed = rows.withColumn("__k", key).withColumn("__s", F.when(F.col("__k").isNull(), F.pmod(F.xxhash64(*order), F.lit(4096))).otherwise(F.lit(0)))
+    first = keyed.where("__k is not null").groupBy("__k", "__s", *scope).agg(F.min(F.struct(*order)).alias("__f"))
+    joined = keyed.join(first, ["__k", "__s", *scope], "left")
     later = F.col("__f").isNotNull() & (F.struct(*order) > F.col("__f"))
-    return joined.withColumn("failures", F.when(later, F.array(F.lit("duplicate_key"))).otherwise(F.col("failures"))).drop("__k", "__f")
+    return joined.withColumn("failures", F.when(later, F.array(F.lit("duplicate_key"))).otherwise(F.col("failures"))).drop("__k", "__s", "__f")
 
 
 def validate(rows: DataFrame, contract: Contract, order: tuple[str, ...] = ("ord",), scope: tuple[str, ...] = (), row: str = "row") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,7 +97,8 @@ def write_lake(spark: SparkSession, rows: DataFrame, contract: Contract, lake: s
     for p in (report_path, quarantine):
         fs, target = hadoop_path(spark, p)
         fs.delete(target, True)
-    spread = good.repartition(*parts).sortWithinPartitions(*parts, contract.time, contract.key)
+    # Rebalanced, not repartitioned: an hour that holds very much is split over several tasks and files.
+    spread = good.hint("rebalance", *parts).sortWithinPartitions(*parts, contract.time, contract.key)
     spread.write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy(*parts).parquet(path)
     counts = done.agg(F.count("*").alias("n_in"), F.count_if(F.size("failures") == 0).alias("n_good")).first()
     failed = {r.check: r.n for r in done.select(F.explode("failures").alias("check")).groupBy("check").agg(F.count("*").alias("n")).collect()}  # a row per kind of check
@@ -104,12 +106,13 @@ def write_lake(spark: SparkSession, rows: DataFrame, contract: Contract, lake: s
         done.where(F.size("failures") > 0).select("row", F.col("failures").alias("errors")).write.mode("overwrite").json(quarantine)
     report = {"table": contract.name, "unit": unit, "rows_in": counts.n_in, "rows_written": counts.n_good, "rows_quarantined": counts.n_in - counts.n_good, "failed_checks": dict(sorted(failed.items()))}
     write_atomically(spark, report_path, json.dumps(report, sort_keys=True))
+    forget(done)
     return report
 
 
-def read_lake(spark: SparkSession, lake: str, contract: Contract) -> DataFrame:
-    """A lake table with its own types for partition columns; columns that older files lack are null."""
+def read_lake(spark: SparkSession, lake: str, contract: Contract, unit: str | None = None) -> DataFrame:
+    """A lake table with its own types for partition columns; columns that older files lack are null. unit: that one only."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*contract.read_schema.fields, T.StructField("unit", T.StringType())])
-    return spark.read.schema(schema).option("basePath", f"{lake}/{contract.name}").parquet(f"{lake}/{contract.name}")
+    return spark.read.schema(schema).option("basePath", f"{lake}/{contract.name}").parquet(f"{lake}/{contract.name}" + (f"/unit={unit}" if unit else ""))

@@ -48,16 +48,39 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; two calls never give the same one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; two calls never give the same one. `clear_scratch` removes them all."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove every scratch path this process made; results that read them must have been used by then. Their number."""
+    done = len(_MADE)
+    while _MADE:
+        remove(spark, _MADE.pop())
+    return done
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a written table in the shared folder: it outlives any executor."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of `stored` that nothing reads any more."""
+    for t in tables:
+        if t._written_to in _MADE:
+            _MADE.remove(t._written_to)
+        remove(t.sparkSession, t._written_to)
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import LIFECYCLE_EVENTS, TRANSACTIONS
 from ..functions.ids import clean_name
 from ..operators import gate, normalise, rules
 from ..operators.features import FEATURE_SET_VERSION, FEATURES, extract
+from ..session import names_in
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -51,22 +52,32 @@ def lake_rows(messages: DataFrame, seen: DataFrame | None = None, order: tuple[s
 
 def write_unit(spark: SparkSession, messages: DataFrame, lake: str, unit: str) -> list[dict]:
     """One set of first deliveries into the lake; the reports of its two tables."""
-    seen = None
-    earlier = _earlier(spark, lake, unit)
-    if earlier is not None:
-        runs = messages.select(F.col("run_id").alias("run_id")).distinct()
-        seen = earlier.select(F.col("session").alias("run_id"), "txid").join(runs, "run_id", "left_semi").distinct()
-    transactions, events = lake_rows(messages, seen)
-    return [gate.write_lake(spark, transactions, TRANSACTIONS, lake, unit), gate.write_lake(spark, events, LIFECYCLE_EVENTS, lake, unit)]
+    buckets = [r.b for r in messages.select(_bucket(F.col("run_id")).alias("b")).distinct().collect()]  # SEEN_BUCKETS at most
+    transactions, events = lake_rows(messages, _seen(spark, lake, unit, buckets))
+    reports = [gate.write_lake(spark, transactions, TRANSACTIONS, lake, unit), gate.write_lake(spark, events, LIFECYCLE_EVENTS, lake, unit)]
+    if reports[0]["rows_written"]:
+        written = gate.read_lake(spark, lake, TRANSACTIONS, unit).select(F.col("session").alias("run_id"), "txid")
+        placed = written.withColumn("bucket", _bucket(F.col("run_id"))).withColumn("of", F.lit(unit))
+        placed.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "of").parquet(f"{lake}/{SEEN}")
+    return reports
 
 
-def _earlier(spark: SparkSession, lake: str, unit: str) -> DataFrame | None:
-    from ..session import hadoop_path
+#: Where the lake lists which transactions of which run it holds, in buckets of runs: a batch reads those of its own runs.
+SEEN, SEEN_BUCKETS = "_seen", 256
 
-    fs, p = hadoop_path(spark, f"{lake}/{TRANSACTIONS.name}")
-    if not fs.exists(p):
+
+def _bucket(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run), F.lit(SEEN_BUCKETS)).cast("int")
+
+
+def _seen(spark: SparkSession, lake: str, unit: str, buckets: list[int]) -> DataFrame | None:
+    """run_id, txid that other units have written, of the buckets asked for; nothing else of the lake is read."""
+    there = set(names_in(spark, f"{lake}/{SEEN}"))
+    paths = [f"{lake}/{SEEN}/bucket={b}" for b in buckets if f"bucket={b}" in there]
+    if not paths:
         return None
-    return gate.read_lake(spark, lake, TRANSACTIONS).where(F.col("unit") != unit)
+    held = spark.read.schema("run_id string, txid string, bucket int, of string").option("basePath", f"{lake}/{SEEN}").parquet(*paths)
+    return held.where(F.col("of") != unit).select("run_id", "txid").distinct()
 
 
 def first_deliveries(messages: DataFrame) -> DataFrame:
@@ -126,19 +137,20 @@ def progress_rows(query) -> list[dict]:
 ALERTS = {"down": 120, "lag": 120, "stale": 300, "quarantine": 0}
 
 
-def alerts(samples: DataFrame, max_lag: int = 1000, max_age: int = 600, quarantine_window: int = 600) -> DataFrame:
-    """at, alert: from samples of (at TIMESTAMP, up BOOLEAN, lag BIGINT, age_seconds DOUBLE, quarantined BIGINT, a running total).
+def alerts(samples: DataFrame, max_lag: int = 1000, max_age: int = 600, quarantine_window: int = 600, by: tuple[str, ...] = ()) -> DataFrame:
+    """at, alert, and the columns `by` (the worker a sample is of; without any, all samples are of one): from samples of (at TIMESTAMP, up BOOLEAN, lag BIGINT, age_seconds DOUBLE, quarantined BIGINT, a running total).
 
     A condition fires once it has held in all samples of its time, and the samples reach back that far.
     """
     seconds = F.unix_seconds("at")
     s = samples.withColumn("__t", seconds)
+    each = Window.partitionBy(*by).orderBy("__t")
 
     def held(condition, span: int):
-        w = Window.orderBy("__t").rangeBetween(-span, 0)  # samples of one worker: some per minute
-        return F.bool_and(condition).over(w) & (F.min("__t").over(Window.orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)) <= F.col("__t") - span)
+        w = each.rangeBetween(-span, 0)  # samples of one worker: some per minute
+        return F.bool_and(condition).over(w) & (F.min("__t").over(each.rangeBetween(Window.unboundedPreceding, 0)) <= F.col("__t") - span)
 
-    grown = F.max("quarantined").over(Window.orderBy("__t").rangeBetween(-quarantine_window, 0)) > F.min("quarantined").over(Window.orderBy("__t").rangeBetween(-quarantine_window, 0))
+    grown = F.max("quarantined").over(each.rangeBetween(-quarantine_window, 0)) > F.min("quarantined").over(each.rangeBetween(-quarantine_window, 0))
     rules_ = {
         "down": held(~F.col("up"), ALERTS["down"]),
         "lag": held(F.coalesce(F.col("lag") > max_lag, F.lit(False)), ALERTS["lag"]),
@@ -146,4 +158,4 @@ def alerts(samples: DataFrame, max_lag: int = 1000, max_age: int = 600, quaranti
         "quarantine": grown,
     }
     fired = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules_.items()]))
-    return s.withColumn("__f", fired).select("at", F.explode("__f").alias("alert"))
+    return s.withColumn("__f", fired).select(*by, "at", F.explode("__f").alias("alert"))

@@ -466,3 +466,41 @@ def test_process_counts(spark):
     assert (s.deliveries, s.duplicate_messages, s.conflicting_messages) == (13, 1, 2)
     assert s.events_added == 30 and s.events_removed == 20 and events.count() == 50
     assert s.features_written == feature_rows.count() == s.features_written and s.features_written + s.duplicate_added + s.conflicting_features == 30
+
+
+def test_percentiles_and_tails_over_ranges(spark):
+    import numpy as np
+
+    draw = random.Random(2)
+    values = [draw.choice((1.0, 2.0, 2.0, round(draw.random() * 9, 2))) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(6)
+    points = (0.0, 0.1, 0.5, 0.77, 0.99, 1.0)
+    got = {r.point: r.value for r in evaluate.percentiles(df, "x", points).collect()}
+    assert got == pytest.approx({p: float(np.quantile(values, p)) for p in points})
+    asked = spark.createDataFrame([(i, v, -v) for i, v in enumerate((-1.0, 1.0, 2.0, 3.33, 99.0))], "k int, x double, y double")
+    both = df.where("x is not null").withColumn("y", -F.col("x"))
+    tails = {(r.k, r.feature): r.training_percentile for r in evaluate.tail_positions(asked, both, "k", ("x", "y")).collect()}
+    for k, v in enumerate((-1.0, 1.0, 2.0, 3.33, 99.0)):
+        rank = (sum(x < v for x in values) + 0.5 * sum(x == v for x in values)) / len(values)
+        assert tails[k, "x"] == pytest.approx(rank, abs=1e-4) and tails[k, "y"] == pytest.approx(1 - rank, abs=1e-4)
+    assert evaluate.percentiles(df.limit(0), "x", points).isEmpty()
+
+
+def test_alerts_of_each_worker(spark):
+    from sluicebox.streaming import lake as stream
+
+    rows_ = [(w, datetime(2026, 1, 1, 0, m, tzinfo=timezone.utc), w != "a", 0, 0.0, 0) for w in "ab" for m in range(6)]
+    samples = spark.createDataFrame(rows_, "worker string, at timestamp, up boolean, lag bigint, age_seconds double, quarantined bigint")
+    got = stream.alerts(samples, by=("worker",)).select("worker", "alert").distinct()
+    assert rows(got) == [("a", "down")]
+
+
+def test_scratch_is_removed(spark):
+    from sluicebox.session import clear_scratch, forget, hadoop_path, stored
+
+    one, two = stored(spark.range(3), "one"), stored(spark.range(3), "two")
+    there = lambda t: (lambda f: f[0].exists(f[1]))(hadoop_path(spark, t._written_to))
+    forget(one)
+    assert not there(one) and there(two)
+    clear_scratch(spark)
+    assert not there(two) and clear_scratch(spark) == 0

@@ -159,6 +159,19 @@ def test_differences_of_nulls(spark):
     assert found(spark, [("a", None, at(1), 1.0, 1, [], 1)], [("a", "s", at(1), 1.0, 1, [], 1)]) == [("s", "a", "only_in_right"), (None, "a", "only_in_left")]
 
 
+def test_several_rows_of_a_key_are_reported(spark):
+    row = ("a", "s", at(1), 1.0, 1, ["x"], 1)
+    assert found(spark, [row, ("a", "s", at(1), 1.0, 2, ["x"], 1)], [row]) == [("s", "a", "several_rows")]
+    assert found(spark, [row, ("a", "s", at(1), 1.5, 1, ["x"], 1)], [row, row]) == [("s", "a", "several_rows")]
+    assert found(spark, [row, ("A ", "s", at(1), 1.0 + 5e-7, 1, ["x", "x"], 1)], [row]) == []
+    assert found(spark, [row, ("a", "s", at(1), None, 1, ["x"], 1)], []) == [("s", "a", "only_in_left"), ("s", "a", "several_rows")]
+    nan = ("a", "s", at(1), float("nan"), 1, ["x"], 1)
+    assert found(spark, [nan, nan], [nan]) == []
+    a, b = (spark.createDataFrame(r, COPY) for r in ([row, ("a", "s", at(1), 1.0, 2, ["x"], 1)], [row]))
+    d = table_diff.diff(a, b, ["s", "k"]).first()
+    assert [tuple(x) for x in d.differences] == [("several_rows", "2", "1")]
+
+
 def test_differences_carry_both_values(spark):
     a, b = (spark.createDataFrame([("k", "s", at(1), 1.0, n, None, 1)], COPY) for n in (1, 2))
     d = table_diff.diff(a, b, ["s", "k"]).first()
