@@ -634,13 +634,91 @@ def rule_lab(spark, sf_dir):
     return rules.lab(spark).select("scenario", "passed")
 
 
-@query()
+#: The scenarios and thresholds of the lab, with the rules written out for SQL.
+_LAB = """with s as (select * from (values ('payment', 1, 2, 1), ('fan_out_below', 2, 9, 1), ('fan_out_at', 2, 10, 1), ('fan_out_more_inputs', 3, 10, 1), ('fan_in_below', 9, 2, 1),
+('fan_in_at', 10, 2, 1), ('equal_below', 3, 4, 2), ('equal_at', 3, 4, 3)) t(scenario, i, o, m)),
+g as (select 'many_outputs_min' as threshold, v as value, v as outs, 10 as ins from (values (5), (10), (20)) x(v) union all select 'many_inputs_min', v, 10, v from (values (5), (10), (20)) x(v)),
+f as (select threshold, value, scenario, (i <= 2 and o >= outs) or (i >= ins and o <= 2) or (i >= 3 and m >= 3) as is_flagged, (i <= 2 and o >= 10) or (i >= 10 and o <= 2) or (i >= 3 and m >= 3) as plain from s, g)
+select threshold, value, scenario, is_flagged, is_flagged <> plain as changed from f"""
+
+
+@query(_LAB)
 def rule_lab_sweep(spark, sf_dir):
     from ..operators import rules
 
     return rules.threshold_sweep(spark)
 
 
+@query(f"""with t as (select distinct event_id, n_in as i, n_out as o, max_equal_output_count as m from {_T} where event_id is not null)
+select event_id, 'many_outputs' as rule_id, o || ' outputs are paid from ' || i || ' input(s); the rule starts at 10 outputs.' as explanation from t where i <= 2 and o >= 10
+union all select event_id, 'many_inputs', i || ' inputs go to ' || o || ' output(s); the rule starts at 10 inputs.' from t where i >= 10 and o <= 2
+union all select event_id, 'repeated_output_values', m || ' outputs have one value, paid from ' || i || ' inputs; ordinary payments can look so, too.' from t where i >= 3 and m >= 3""")
+def rule_explanations(spark, sf_dir):
+    """Every signal of every transaction with its explanation."""
+    from ..operators import rules
+
+    t = views.cleaned_transactions(spark, sf_dir).select("event_id", "n_in", "n_out", "max_equal_output_count").where("event_id is not null").distinct()
+    found = t.select("event_id", F.explode(rules.signals(F.col("n_in"), F.col("n_out"), F.col("max_equal_output_count"))).alias("s"))
+    return found.select("event_id", "s.rule_id", "s.explanation")
+
+
+@query("""with g as (select 'fan_out' as family, 'target' as kind, unnest([3, 5, 8, 10, 15, 20, 50, 100, 300])::bigint as severity
+union all select 'fan_in', 'target', unnest([3, 5, 8, 10, 15, 20, 50, 100, 300]) union all select 'equal_outputs', 'target', unnest([2, 3, 5, 10, 20, 50])
+union all select 'fee_outlier', 'target', unnest([1, 5, 20, 100, 500, 2000]) union all select 'large_payment', 'benign_control', unnest([100000000, 1000000000, 10000000000, 100000000000])
+union all select unnest(['ordinary_payment', 'round_amount_payment', 'high_fee_payment', 'small_batch', 'small_consolidation']), 'benign_control', 0),
+n as (select *, case family when 'fan_in' then severity when 'equal_outputs' then 3 when 'small_batch' then 2 when 'small_consolidation' then 4 else 1 end as i,
+case family when 'fan_out' then severity when 'fan_in' then 1 when 'equal_outputs' then severity + 1 when 'small_batch' then 6 when 'small_consolidation' then 1 else 2 end as o,
+case family when 'equal_outputs' then severity else 1 end as m from g)
+select family, kind, severity, 20::bigint as cases, i as n_in, o as n_out, m as max_equal, (i <= 2 and o >= 10) or (i >= 10 and o <= 2) or (i >= 3 and m >= 3) as is_flagged, true as as_expected from n""")
+def sweep_rules(spark, sf_dir):
+    """The shapes of the sweep as the rules see them: the same in all variants of a shape."""
+    from ..operators import sweep
+
+    done = sweep.screened_cases(spark)
+    return done.groupBy("family", "kind", "severity").agg(
+        F.count("*").alias("cases"),
+        F.max("n_in").cast("bigint").alias("n_in"),
+        F.max("n_out").cast("bigint").alias("n_out"),
+        F.max("max_equal_output_count").cast("bigint").alias("max_equal"),
+        F.bool_or("is_flagged").alias("is_flagged"),
+        F.bool_and("rules_match_expected").alias("as_expected"),
+    )
+
+
+def _lake_of(spark, sf_dir) -> str:
+    """The transactions written through the gate into a lake of their own."""
+    from ..contracts import TRANSACTIONS
+    from ..operators import gate
+    from ..session import scratch
+
+    lake = scratch(spark, "gated-lake")
+    gate.write_lake(spark, _gate_rows(spark, sf_dir), TRANSACTIONS, lake, "all")
+    return lake
+
+
+@query(f"""with g as (select * from {_GATED} where len(failures) = 0), d as (select *, rank() over (partition by txid order by received_at, session, event_id) as rn from g)
+select strftime(timezone('UTC', received_at), '%Y-%m-%d') as dt, hour(timezone('UTC', received_at))::integer as hour, count(*) as n from d where rn = 1 group by 1, 2""")
+def lake_round_trip(spark, sf_dir):
+    """Rows by partition of a lake written through the gate and read back."""
+    from ..contracts import TRANSACTIONS
+    from ..operators import gate
+
+    held = gate.read_lake(spark, _lake_of(spark, sf_dir), TRANSACTIONS)
+    return held.groupBy(F.col("dt").cast("string").alias("dt"), F.col("hour").cast("int").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query()
+def lake_quarantine(spark, sf_dir):
+    """Quarantined rows of that lake by check, from the quarantine's own files."""
+    from ..contracts import TRANSACTIONS
+
+    held = spark.read.schema("row string, errors array<string>").json(f"{_lake_of(spark, sf_dir)}/_quarantine/{TRANSACTIONS.name}")
+    return held.select(F.explode("errors").alias("check")).groupBy("check").agg(F.count("*").alias("n"))
+
+
+ORACLE["lake_quarantine"] = ORACLE["quality_gate_report"]
+
+
 @query("""with s as (select session, lag(ended_at) over (partition by source_url order by started_at, session) as before, started_at from capture_sessions where source_url is not null)
 select session, round(greatest(date_diff('microsecond', before, started_at), 0) / 1000000.0::double, 3) as gap_seconds from s where before is not null""")
 def gap_seconds(spark, sf_dir):
