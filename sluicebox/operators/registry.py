@@ -40,12 +40,17 @@ def write_bundle(folder: Path, bundle: dict, model_json: str | None = None) -> P
     return target
 
 
+def unchanged(bundle: dict) -> bool:
+    """Whether a bundle's id still follows from its content."""
+    body = {k: v for k, v in bundle.items() if k != "detector_id"}
+    return bundle.get("detector_id", "").endswith(digest(json.dumps(body, sort_keys=True).encode())[:16])
+
+
 def load_bundle(folder: Path, columns: Iterable[str] | None = None) -> tuple[dict, str | None]:
     """A bundle and its model; ValueError if either was changed or the model's columns aren't these."""
     folder = Path(folder)
     bundle = json.loads((folder / "bundle.json").read_text(encoding="utf-8"))
-    body = {k: v for k, v in bundle.items() if k != "detector_id"}
-    if not bundle["detector_id"].endswith(digest(json.dumps(body, sort_keys=True).encode())[:16]):
+    if not unchanged(bundle):
         raise ValueError("the bundle was changed after it was made")
     if bundle["family"] != "forest":
         return bundle, None
@@ -121,6 +126,8 @@ class Registry:
     def promote(self, bundle: dict, reason: str) -> None:
         if bundle["detector_id"] not in self.state.registered:
             raise ValueError("register the bundle first")
+        if not unchanged(bundle):
+            raise ValueError("the bundle was changed after it was made")
         if bundle["detector_id"] == self.state.champion:
             raise ValueError("this bundle is the champion already")
         if wrong := failures(bundle):
@@ -128,9 +135,15 @@ class Registry:
             raise ValueError("not promoted: " + ", ".join(wrong))
         self._append(kind="promoted", detector_id=bundle["detector_id"], reason=reason)
 
-    def rollback(self, reason: str) -> str:
+    def rollback(self, reason: str, bundles: Path | None = None) -> str:
+        """Back to the champion before. bundles: the folder of bundles; the one to go back to is then loaded and must be
+        whole and still pass, else nothing changes."""
         s = self.state
         if not s.previous:
             raise ValueError("there is no earlier champion")
+        if bundles is not None:
+            bundle, _ = load_bundle(Path(bundles) / s.previous[-1])
+            if bundle["detector_id"] != s.previous[-1] or (wrong := failures(bundle)):
+                raise ValueError("the earlier champion may not serve: " + ", ".join(wrong if bundle["detector_id"] == s.previous[-1] else ["another bundle"]))
         self._append(kind="rolled_back", detector_id=s.champion, to=s.previous[-1], reason=reason)
         return s.previous[-1]

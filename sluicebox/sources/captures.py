@@ -82,11 +82,35 @@ def message_stream(spark: SparkSession, source: str, **options: str) -> DataFram
         return spark.readStream.schema(ENVELOPE).options(**options).parquet(path)
     if source == "kafka":
         rows = spark.readStream.format("kafka").options(startingOffsets="earliest", **options).load()
-        messages = F.from_json(F.col("value").cast("string"), ENVELOPE)
-        return rows.select(messages.alias("m"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "timestamp").select("m.*", "kafka_partition", "kafka_offset", "timestamp")
+        return decoded(rows)
     raise ValueError(f"no stream source {source!r}; there are file and kafka")
 
 
+def _read_envelope(records: DataFrame) -> DataFrame:
+    """records (value BINARY, partition, offset, timestamp) with m, the envelope, and reason, why there is none."""
+    schema = T.StructType([*ENVELOPE.fields, T.StructField("__corrupt", T.StringType())])
+    text = F.col("value").cast("string")
+    read = records.withColumn("m", F.from_json(text, schema, {"columnNameOfCorruptRecord": "__corrupt"}))
+    reason = (
+        F.when(F.col("value").isNull(), F.lit("no value"))
+        .when(~F.is_valid_utf8(text), F.lit("not UTF-8"))
+        .when(F.col("m").isNull() | F.col("m.__corrupt").isNotNull(), F.lit("no JSON object of the envelope's types"))
+    )
+    return read.withColumn("reason", reason)
+
+
+def decoded(records: DataFrame) -> DataFrame:
+    """The envelopes of a topic's records, with kafka_partition, kafka_offset and timestamp; others are in `undecodable`."""
+    good = _read_envelope(records).where("reason is null")
+    return good.select(*[F.col(f"m.{n}") for n in ENVELOPE.names], F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "timestamp")
+
+
+def undecodable(records: DataFrame) -> DataFrame:
+    """kafka_partition, kafka_offset, timestamp, reason, value_base64 of the records that hold no envelope: nothing of them is lost."""
+    bad = _read_envelope(records).where("reason is not null")
+    return bad.select(F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "timestamp", "reason", F.base64("value").alias("value_base64"))
+
+
 def topic(spark: SparkSession, servers: str, name: str) -> DataFrame:
     """A whole topic with its append times, as a table."""
     return spark.read.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": name, "startingOffsets": "earliest"}).load()
@@ -97,6 +121,12 @@ def sessions_without(lake_sessions: DataFrame, other: DataFrame) -> DataFrame:
     return other.select("session").distinct().join(lake_sessions.select("session"), "session", "left_anti")
 
 
+def with_fallback(lake_rows: DataFrame, other_rows: DataFrame) -> DataFrame:
+    """The lake's rows, and those of sessions that only the other source has. Columns by name; what one lacks is null."""
+    missing = sessions_without(lake_rows.select("session").distinct(), other_rows)
+    return lake_rows.unionByName(other_rows.join(missing, "session", "left_semi"), allowMissingColumns=True)
+
+
 def pending(sessions: DataFrame, done: DataFrame, on: str | None = None) -> DataFrame:
     """Sessions not done yet; on: only those whose name carries this UTC date (yyyy-mm-dd). Names without one never match a date."""
     day = F.try_to_timestamp(F.regexp_extract("session", r"(\d{8})T\d{6}Z", 1), F.lit("yyyyMMdd")).cast("date")

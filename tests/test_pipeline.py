@@ -504,3 +504,42 @@ def test_scratch_is_removed(spark):
     assert not there(one) and there(two)
     clear_scratch(spark)
     assert not there(two) and clear_scratch(spark) == 0
+
+
+def test_records_that_hold_no_envelope_are_kept(spark):
+    import base64
+
+    from sluicebox.sources import captures
+
+    values = [json.dumps({"message_id": "a", "schema_version": 1}).encode(), b"\xff\xfe{}", b"[1", None, b"", json.dumps({"schema_version": "x"}).encode()]
+    records = spark.createDataFrame([(None if v is None else bytearray(v), 0, i, datetime(2026, 1, 1)) for i, v in enumerate(values)], "value binary, partition int, offset bigint, timestamp timestamp")
+    assert rows(captures.decoded(records).select("message_id", "kafka_offset")) == [("a", 0)]
+    bad = {r.kafka_offset: (r.reason, r.value_base64) for r in captures.undecodable(records).collect()}
+    assert set(bad) == {1, 2, 3, 4, 5} and bad[3] == ("no value", None) and bad[1] == ("not UTF-8", base64.b64encode(values[1]).decode())
+
+
+def test_fallback_sessions(spark):
+    from sluicebox.sources import captures
+
+    lake = spark.createDataFrame([("a", 1)], "session string, n int")
+    other = spark.createDataFrame([("a", 9, "x"), ("b", 2, "y")], "session string, n int, more string")
+    assert rows(captures.with_fallback(lake, other)) == [("a", 1, None), ("b", 2, "y")]
+
+
+def test_changed_bundles_are_neither_promoted_nor_gone_back_to(tmp_path):
+    good = {"rate_ratio": 1.1, "worst_benign_rate": 0.05, "rule_scope_rate": 0.95, "deterministic": True}
+    r = registry.Registry(tmp_path / "log.jsonl")
+    first, second = (registry.bundle_of_forest(f"{{{n}}}", 0.5, good, forest.INPUTS) for n in (1, 2))
+    folder = registry.write_bundle(tmp_path, first, "{1}")
+    for b in (first, second):
+        r.register(b)
+    with pytest.raises(ValueError, match="changed"):
+        r.promote(first | {"threshold": 0.1}, "try")
+    r.promote(first, "start")
+    r.promote(second, "better")
+    (folder / "model.json").write_text("{9}")
+    with pytest.raises(ValueError):
+        r.rollback("worse", tmp_path)
+    assert r.state.champion == second["detector_id"]
+    (folder / "model.json").write_text("{1}")
+    assert r.rollback("worse", tmp_path) == first["detector_id"]
