@@ -66,22 +66,24 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _model(spark: SparkSession, sf_dir: str):
+    """The model of the corpus; its sample is taken from the scan itself."""
+    return pii.fit(table(spark, sf_dir, "documents").select("text"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, kind, start_char, end_char of each span that p8_replaced replaces."""
-    texts = _texts(spark, sf_dir)
-    return pii.found(texts, model=pii.fit(texts))
+    return pii.found(_texts(spark, sf_dir), model=_model(spark, sf_dir))
 
 
 def p8_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text_out: the texts with typed placeholders."""
-    texts = _texts(spark, sf_dir)
-    return pii.pseudonymise(texts, TEST_KEY, model=pii.fit(texts)).select("doc_id", "text_out")
+    return pii.pseudonymise(_texts(spark, sf_dir), TEST_KEY, model=_model(spark, sf_dir)).select("doc_id", "text_out")
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: the replaced texts turned back, numbers by the key and all else by a table of what the tags stand for."""
-    texts = _texts(spark, sf_dir)
-    return pii.restored(pii.pseudonymise(texts, TEST_KEY, model=pii.fit(texts)), TEST_KEY)
+    return pii.restored(pii.pseudonymise(_texts(spark, sf_dir), TEST_KEY, model=_model(spark, sf_dir)), TEST_KEY)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p6_ids, p6_decoded, p7_mix, p7_shares, p8_found, p8_replaced, p8_restored)}
