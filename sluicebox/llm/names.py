@@ -1,26 +1,28 @@
-"""Persons' names in text: a token classifier of shape, position and neighbourhood, fitted on a bounded labelled sample.
+"""Persons' names in text: a token classifier of shape, position and neighbourhood, fitted on all texts of a corpus.
 
-Labels come from two places. A fixed set of sentences with slots is filled with common and with made-up names. And texts
-of the corpus itself, a sample of at most SAMPLE, label themselves: where a name must stand by the structure of a text
+Labels come from two places. A fixed set of sentences with slots is filled with common and with made-up names. And the
+texts of the corpus itself, every one of them, label themselves: where a name must stand by the structure of a text
 (signatures, mail headers, fields of forms, titles, salutations), what stands there is one; a word that stands there
-often is one elsewhere, too, and what surrounds it there teaches the neighbourhoods of names. Words of the sample that
-are also written small, or often and never in such a place, are the counterexamples; the rest is left unlabelled.
+often is one elsewhere, too, and what surrounds it there teaches the neighbourhoods of names. Words of the corpus that
+are also written small, or often and hardly ever in such a place, are the counterexamples; the rest is left unlabelled.
 
-The model is a table of feature weights, bounded by its sample. It is applied to every token of every text.
+The model is a table of feature weights; it grows with the vocabulary of the corpus. It is applied to every token of
+every text. This module reads one text at a time; `fitting` runs it over a corpus.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-#: Texts that a model is fitted on, at most.
-SAMPLE = 6000
+#: Texts that RARE, COMMON and COMMON_CAPITAL are stated for. In a larger corpus they grow in proportion, so that a word is
+#: as common by them whatever the size of the corpus.
+STATED = 6000
 #: Signs of a word of a name, at most: longer runs of letters are other things.
 LONGEST = 60
-#: A word of the sample that is never written small counts as no name if it stands so often outside all places of names.
+#: A word of the corpus that is never written small counts as no name if it stands so often outside all places of names.
 RARE = 15
 #: A token is part of a name from this score on (log-odds).
 CUT = 0.0
@@ -32,8 +34,14 @@ BESIDE_COMMON, BESIDE_BONUS = 0.5, 7.0
 CERTAIN = 6.0
 #: Added to a lone word behind a lone family name and a comma.
 COMMA_BONUS = 4.0
-#: A word written small so often in the sample is common, and one in capitals so often outside all places of names.
+#: A word written small so often in the corpus is common, and one in capitals so often outside all places of names.
 COMMON, COMMON_CAPITAL = 3, 40
+#: Of words placed less often than one in STATED texts, those whose share of places is at most this count as not placed.
+STRAY = 0.05
+#: What an example weighs, in tenths: one of a name, one of no name, and the share of it that shows what the corpus taught.
+NAME, NO_NAME, TAUGHT = 10, 5, 0.6
+#: A feature counts from this weight of examples on.
+SEEN = 2 * NAME
 
 # ---------------------------------------------------------------- fixed word lists
 
@@ -344,89 +352,157 @@ class Model:
         return g if g != f else None
 
 
-def _logistic(rows: list[list[int]], labels: list[int], weights_of: list[float], n: int, rounds: int = 80, decay: float = 1e-4):
-    """Weights of a logistic regression over sets of features, by full gradients with Adam."""
+def gradient(w, flat, size, y, v):
+    """What a block of examples adds to the gradient of the logistic loss at the weights w.
+
+    Of each example: its number of features (their ids follow one another in flat), its label and its weight.
+    """
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(size)), size)
+    z = np.bincount(owner, weights=w[flat], minlength=len(size))
+    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * v
+    return np.bincount(flat, weights=g[owner], minlength=len(w))
+
+
+def descend(gradient_at, n: int, total: float, rounds: int = 80, decay: float = 1e-4):
+    """n weights of a logistic regression over sets of features, by full gradients with Adam. total: the weight of all examples."""
     import numpy as np
 
-    flat = np.fromiter((x for r in rows for x in r), dtype=np.int64)
-    size = np.fromiter((len(r) for r in rows), dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), size)
-    y, v = np.asarray(labels, float), np.asarray(weights_of, float)
-    v = v / v.sum()
     w, m, s = np.zeros(n), np.zeros(n), np.zeros(n)
     for k in range(1, rounds + 1):
-        z = np.bincount(owner, weights=w[flat], minlength=len(rows))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * v
-        grad = np.bincount(flat, weights=g[owner], minlength=n) + decay * w / len(w) ** 0.5
+        grad = gradient_at(w) / total + decay * w / n**0.5
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad * grad
         w -= 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-9) * min(1.0, 20 / k)
     return w
 
 
-def fit(texts: Iterable[str], seed: int = 5) -> Model:
-    """A model of the sentences above and of the texts' own labels. texts: at most SAMPLE, in the form the rules read."""
+def patterns() -> tuple:
+    """The compiled patterns of tokens and of places."""
     import regex
 
-    token = regex.compile(TOKEN)
-    places = [regex.compile(p, regex.M) for p in PLACES]
-    draw = random.Random(seed)
-    read = [Text(x, token) for x in texts]
-    placed, capital, small = Counter(), Counter(), Counter()
-    ends: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    marks: list[set[int]] = []
-    for t in read:
-        here = in_places(t, places)
-        inside = set()
-        for run in here:
-            words = [i for i in run if candidate(t, i, {}) and t.low[i] not in PARTICLES or t.word[i].islower() and len(t.word[i]) > 2 and t.low[i] not in PARTICLES]
-            if not 1 <= len(words) <= 4 or any(t.low[i] in FUNCTION or t.low[i] in TITLES for i in words):
-                continue
-            for i in words:
-                placed[t.low[i]] += 1
-            inside.update(words)
-            if len(words) == 2 and not any(t.word[j] == "," for j in range(words[0], words[1])):
-                ends[t.low[words[0]]][0] += 1
-                ends[t.low[words[1]]][1] += 1
-        marks.append(inside)
-        for i, w in enumerate(t.word):
-            if w[0].isalpha() and i not in inside and t.free(i):
-                (small if w.islower() else capital)[t.low[i]] += 1
-    parts = {w: tuple(ends[w]) for w, n in placed.items() if n >= 2 and n >= 0.1 * capital[w] and small[w] <= 0.5 * n and w not in CALENDAR and w not in FUNCTION}
-    common = frozenset(x for x in {*small, *capital} if x not in parts and (small[x] >= COMMON or placed[x] == 0 and capital[x] >= COMMON_CAPITAL))
-    index: dict[str, int] = {}
-    rows, labels, worth = [], [], []
-
-    def add(t: Text, i: int, label: int, known: dict, weight: float) -> None:
-        rows.append([index.setdefault(f, len(index)) for f in features(t, i, known, common if known else frozenset())])
-        labels.append(label)
-        worth.append(weight)
+    return regex.compile(TOKEN), [regex.compile(p, regex.M) for p in PLACES]
 
+
+def stands(t: Text, places) -> tuple[list[int], list[tuple[int, int]]]:
+    """Tokens that stand where a name must, once for each such place, and the two of names of two words."""
+    placed, pairs = [], []
+    for run in in_places(t, places):
+        words = [i for i in run if candidate(t, i, {}) and t.low[i] not in PARTICLES or t.word[i].islower() and len(t.word[i]) > 2 and t.low[i] not in PARTICLES]
+        if not 1 <= len(words) <= 4 or any(t.low[i] in FUNCTION or t.low[i] in TITLES for i in words):
+            continue
+        placed += words
+        if len(words) == 2 and not any(t.word[j] == "," for j in range(words[0], words[1])):
+            pairs.append((words[0], words[1]))
+    return placed, pairs
+
+
+def tally(t: Text, places, counts: dict[str, list[int]]) -> None:
+    """Counts a text in: of each word how often it is placed, elsewhere in capitals, elsewhere small, first and last of two."""
+    placed, pairs = stands(t, places)
+    for i in placed:
+        counts[t.low[i]][0] += 1
+    for first, last in pairs:
+        counts[t.low[first]][3] += 1
+        counts[t.low[last]][4] += 1
+    inside = set(placed)
+    for i, w in enumerate(t.word):
+        if w[0].isalpha() and i not in inside and t.free(i):
+            counts[t.low[i]][2 if w.islower() else 1] += 1
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """What the words of a corpus are: parts of names, common, and those that stand as counterexamples."""
+
+    parts: dict[str, tuple[int, int]] = field(default_factory=dict)
+    common: frozenset[str] = frozenset()
+    plain: frozenset[str] = frozenset()
+
+
+def lexicon(counts: Iterable[tuple[str, int, int, int, int, int]], n: int) -> Lexicon:
+    """From the words of n texts with what `tally` counted. No word is of use that is neither placed twice, nor twice
+    small, nor RARE times in capitals."""
+    x = max(1.0, n / STATED)
+    parts, common, plain = {}, set(), set()
+    for w, placed, capital, small, first, last in counts:
+        if placed >= 2 and placed >= 0.1 * capital and small <= 0.5 * placed and w not in CALENDAR and w not in FUNCTION:
+            parts[w] = (first, last)
+            continue
+        stray = placed < x and placed <= STRAY * (capital + small)
+        if small >= COMMON * x or stray and capital >= COMMON_CAPITAL * x:
+            common.add(w)
+        if stray and capital and (small >= max(2, 0.25 * capital) or capital >= RARE * x):
+            plain.add(w)
+    return Lexicon(parts, frozenset(common), frozenset(plain))
+
+
+def examples(t: Text, places, lex: Lexicon) -> Iterator[tuple[list[str], int, int]]:
+    """(features, label, weight in tenths) of a text's words. Each word is shown both with what the corpus taught about it
+    and without, so that words it taught nothing about are known by the rest."""
+    inside = set(stands(t, places)[0])
+    for i, low in enumerate(t.low):
+        if low in PARTICLES or not candidate(t, i, lex.parts) or not t.free(i):
+            continue
+        if i in inside or low in lex.parts:
+            label, weight = 1, NAME
+        elif low in lex.plain:
+            label, weight = 0, NO_NAME
+        else:
+            continue
+        taught, bare = features(t, i, lex.parts, lex.common), features(t, i, {})
+        if taught == bare:
+            yield taught, label, weight
+        else:
+            yield taught, label, round(TAUGHT * weight)
+            yield bare, label, weight - round(TAUGHT * weight)
+
+
+def own_examples() -> Counter[tuple[tuple[str, ...], int]]:
+    """The weight of each (features, label) of the labelled sentences."""
+    token, _ = patterns()
+    out: Counter[tuple[tuple[str, ...], int]] = Counter()
     for x, spans in sentences():
         t = Text(x, token)
         for i in range(len(t.word)):
             if candidate(t, i, {}) and t.low[i] not in PARTICLES:
-                add(t, i, int(any(a <= t.start[i] < b for a, b in spans)), {}, 1.0)
-    n_own = len(rows)
-    for t, inside in zip(read, marks, strict=True):
-        for i in range(len(t.word)):
-            low = t.low[i]
-            if low in PARTICLES or not candidate(t, i, parts) or not t.free(i):
-                continue
-            known = parts if draw.random() < 0.6 else {}
-            if i in inside or low in parts:
-                add(t, i, 1, known, 1.0)
-            elif placed[low] == 0 and (small[low] >= max(2, 0.25 * capital[low]) or capital[low] >= RARE):
-                if draw.random() < 0.5:
-                    add(t, i, 0, known, 1.0)
-    if len(rows) > n_own:  # the two places weigh alike, however large the sample is
-        scale = max(1.0, (len(rows) - n_own) / n_own / 2)
-        worth[:n_own] = [scale] * n_own
-    seen = Counter(x for r in rows for x in r)
-    names = {i: f for f, i in index.items()}
-    keep = {i: k for k, i in enumerate(i for i, n in seen.items() if n >= 2)}
-    w = _logistic([[keep[x] for x in r if x in keep] for r in rows], labels, worth, len(keep))
-    weights = {names[i]: round(float(w[k]), 3) for i, k in keep.items() if abs(w[k]) >= 0.02}
-    return Model(weights, parts, common)
+                out[tuple(features(t, i, {})), int(any(a <= t.start[i] < b for a, b in spans))] += NAME
+    return out
+
+
+def seen(weighed: Iterable[tuple[Iterable[str], int]]) -> set[str]:
+    """Features that count. weighed: features and their weight."""
+    out: Counter[str] = Counter()
+    for features_, weight in weighed:
+        for x in features_:
+            out[x] += weight
+    return {x for x, n in out.items() if n >= SEEN}
+
+
+def block(rows: Iterable[tuple[Iterable[str], int, float]], index: dict[str, int]) -> tuple:
+    """flat, size, y, v of `gradient`, from (features, label, weight)."""
+    import numpy as np
+
+    flat, size, y, v = [], [], [], []
+    for features_, label, weight in rows:
+        ids = [index[x] for x in features_ if x in index]
+        flat += ids
+        size.append(len(ids))
+        y.append(label)
+        v.append(weight)
+    return np.array(flat, np.int32), np.array(size, np.int32), np.array(y, np.int8), np.array(v, np.float64)
+
+
+def model_of(index: dict[str, int], w, lex: Lexicon) -> Model:
+    return Model({f: round(float(w[k]), 3) for f, k in index.items() if abs(w[k]) >= 0.02}, lex.parts, lex.common)
+
+
+def fit() -> Model:
+    """A model of the labelled sentences alone; `fitting.fit` is that of a corpus."""
+    own = own_examples()
+    index = {f: k for k, f in enumerate(sorted(seen((f, n) for (f, _), n in own.items())))}
+    rows = block(((f, y, n) for (f, y), n in own.items()), index)
+    return model_of(index, descend(lambda w: gradient(w, *rows), len(index), rows[3].sum()), Lexicon())
 
 
 def in_places(t: Text, places) -> list[list[int]]:
@@ -621,5 +697,5 @@ _BASE: list[Model] = []
 def base_model() -> Model:
     """The model of the sentences alone, fitted once in a process."""
     if not _BASE:
-        _BASE.append(fit(()))
+        _BASE.append(fit())
     return _BASE[0]

@@ -67,7 +67,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str):
-    """The model of the corpus; its sample is taken from the scan itself."""
+    """The model of the corpus, of all its texts."""
     return pii.fit(table(spark, sf_dir, "documents").select("text"))
 
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sluicebox.llm import mixing, pii, split_overlap, tokens
+from sluicebox.llm import fitting, mixing, names, pii, split_overlap, tokens
 
 # ---------------------------------------------------------------- 1: overlaps
 
@@ -395,6 +395,39 @@ def test_a_model_of_a_corpus(spark):
     assert rows(pii.found(df.limit(0), model=model)) == []
 
 
+def test_a_model_counts_every_text(spark):
+    """Of more texts than 6,000, of long ones and of many towns none is left out."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04}")
+    rare = [f"Zorv{word(i)}" for i in range(40)]
+    towns = [f"Brun{word(i)}" for i in range(2100)]
+    made = [f"run {i} is late, nothing else was seen." for i in range(7000)]
+    made += [f"Nr. {k} is fine.\n\nRegards,\n{w}" for w in rare for k in (1, 2)]
+    made += ["the queue is slow. " * 1200 + f"Nr. {k} is fine.\n\nRegards,\nQhelvadour" for k in (1, 2)]
+    made += [f"{k}: " + "; ".join(f"12 Ember Lane, {t} 06222" for t in towns[i : i + 100]) for i in range(0, 2100, 100) for k in (1, 2)]
+    model = pii.fit(spark.createDataFrame([(x,) for x in made], "text string"))
+    assert {w.lower() for w in rare} | {"qhelvadour"} <= set(model.parts)
+    assert set(model.towns) == {t.lower() for t in towns}
+    for text in ("12 Ember Lane, Bad Brunau 06222.", "12 Ember Lane,\n> Bad Brunau, AB1 2CD", "Am Alten Speicher 5,\n> 12345 Bad Brunau", "Birkenauer Straße 12, 12345 Bad Brunau."):
+        assert set(pii._towns()(text)) == {"bad brunau"} and pii._towns()(text.replace("12345", "1234").replace("06222", "0622").replace("2CD", "2C")) == []
+
+
+def test_a_word_is_as_common_in_a_corpus_of_any_size():
+    counts = [("often", 0, 50, 60, 0, 0), ("capital", 0, 900, 0, 0, 0), ("seldom", 0, 0, 9, 0, 0), ("stray", 3, 900, 0, 0, 0), ("name", 3, 9, 0, 1, 2)]
+    small = names.lexicon([(w, *(x // 10 for x in xs)) for w, *xs in counts], 6000)
+    large = names.lexicon(counts, 60_000)
+    assert small.common == {"often", "capital", "stray"} and large.common == small.common and large.plain == small.plain
+    assert large.parts == {"name": (1, 2)}
+
+
+def test_gradients_of_tasks_give_the_model_of_the_driver(spark):
+    lex = names.lexicon([("ozmelia", 3, 0, 0, 3, 0), ("cart", 0, 2, 9, 0, 0)], 10)
+    df = spark.createDataFrame([(f"Then Ozmelia left the Cart {x}.",) for x in "abcdefgh"], "t string")
+    different = fitting.examples(df, str, lex)
+    here, apart = (fitting.regression(different, lex, n) for n in (1 << 26, -1))
+    assert here.weights.keys() == apart.weights.keys() and all(abs(here.weights[f] - w) <= 0.002 for f, w in apart.weights.items())
+    assert here.weights != names.base_model().weights
+
+
 def test_very_long_texts(spark):
     text = "x1 " * 30_000 + "mail a@b.example now. " + "A" * 50_000
     assert [k for *_, k in pii.Finder().spans(text)] == ["email"]
